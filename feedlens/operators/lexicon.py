@@ -35,8 +35,7 @@ def lexicon_relevance(
     for word, weight in lexicon.items():
         score = score + points(found("_content", word), weight)
     for word, weight in lexicon.items():
-        uses = F.size(F.filter(F.col("tags"), lambda t, w=word: t == F.lit(w)))
-        score = score + uses * F.lit(weight * 1.2)
+        score = score + _uses("tags", word) * F.lit(weight * 1.2)
     score = score + points(found("_title", query), 0.3) + points(found("_content", query), 0.2)
     source = ascii_lower("source")
     bonus = F.when(F.lit(False), F.lit(0.0))
@@ -46,5 +45,9 @@ def lexicon_relevance(
     return folded.withColumn("relevance", F.least(score, F.lit(1.0))).drop("_title", "_content")
 
 
+def _uses(tags: str, word: str) -> Column:
+    return F.size(F.filter(F.col(tags), lambda tag: tag == F.lit(word)))
+
+
 def _fold(word: str) -> str:
     return "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in word)
