@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedlens import vocab
-from feedlens.functions.text import byte_len, col, cut_bytes, trim_space
+from feedlens.functions.text import byte_len, col, trim_space
 
 
 @dataclass(frozen=True)
@@ -56,29 +56,18 @@ def literal_tokens(word: str) -> list[str]:
     return "".join(ch if ch.isalpha() else " " for ch in word.lower()).split()
 
 
-def kept_terms(tokens: Column) -> Column:
-    """Stemmed tokens without stop words and without terms of one or two bytes."""
-    stops = F.array(*[F.lit(w) for w in vocab.TERM_STOP_WORDS])
-    stems = F.transform(tokens, lambda t: stem(t))
-    return F.filter(stems, lambda t: (byte_len(t) > 2) & ~F.array_contains(stops, t))
-
-
-def text_match(c: Column | str, keyword: str, weights: MatchWeights) -> Column:
+def text_match(folded: Column | str, stems: Column | str, keyword: str, weights: MatchWeights) -> Column:
     """1.5 for the whole keyword, else 0.8 times the share of its tokens found in the text.
 
-    A keyword token takes the value of the first text token that equals its stem (1.0) or
+    A keyword token takes the value of the first text stem that equals its own (1.0) or
     contains it or is contained in it (0.7).
     """
-    body = F.lower(col(c))
+    body = col(folded)
     parts = [stem_word(t) for t in literal_tokens(keyword)]
-    stems = F.transform(tokenize(body), lambda t: stem(t))
     total: Column = F.lit(0.0)
     for part in parts:
-        literal = F.lit(part)
-        hit = F.get(
-            F.filter(stems, lambda s: F.contains(s, literal) | F.contains(literal, s)), F.lit(0)
-        )
-        total = total + F.when(hit.isNull(), F.lit(0.0)).when(hit == literal, F.lit(1.0)).otherwise(F.lit(0.7))
+        hit = F.get(F.filter(col(stems), _overlaps(part)), F.lit(0))
+        total = total + F.when(hit.isNull(), F.lit(0.0)).when(hit == F.lit(part), F.lit(1.0)).otherwise(F.lit(0.7))
     partial = total / F.lit(float(len(parts))) * F.lit(weights.partial) if parts else F.lit(0.0)
     return (
         F.when((body == "") | F.lit(keyword == ""), F.lit(0.0))
@@ -87,6 +76,11 @@ def text_match(c: Column | str, keyword: str, weights: MatchWeights) -> Column:
     )
 
 
+def _overlaps(part: str):
+    literal = F.lit(part)
+    return lambda s: F.contains(s, literal) | F.contains(literal, s)
+
+
 def tag_match(tags: Column | str, keyword: str, weights: MatchWeights) -> Column:
     """The best of exact, substring either way and equal stems over all tags."""
     literal = F.lit(keyword)
@@ -101,31 +95,3 @@ def tag_match(tags: Column | str, keyword: str, weights: MatchWeights) -> Column
         )
 
     return F.coalesce(F.array_max(F.transform(col(tags), one)), F.lit(0.0))
-
-
-def keyword_match_score(
-    keywords: list[str],
-    weights: MatchWeights = MatchWeights(),
-    title: str = "title",
-    summary: str = "summary",
-    content: str = "content",
-    tags: str = "tags",
-) -> Column:
-    """Weighted keyword match over title, summary, the first 1000 content bytes and tags."""
-    if not keywords:
-        return F.lit(0.0)
-    best = len(keywords) * weights.title * weights.exact
-    if best == 0:
-        return F.lit(0.0)
-    head = cut_bytes(content, 1000)
-    total: Column = F.lit(0.0)
-    for raw in keywords:
-        keyword = raw.strip().lower()
-        total = (
-            total
-            + text_match(title, keyword, weights) * F.lit(weights.title)
-            + text_match(summary, keyword, weights) * F.lit(weights.summary)
-            + text_match(head, keyword, weights) * F.lit(weights.content)
-            + tag_match(tags, keyword, weights) * F.lit(weights.tag)
-        )
-    return F.least(total / F.lit(best), F.lit(1.0))

@@ -20,6 +20,8 @@ from feedlens import vocab
 
 ASCII_SPACE = r"[\t\n\f\r ]+"
 UNICODE_SPACE = "[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# the same characters as a trim set
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,7 +49,7 @@ def collapse_space(c: Column | str) -> Column:
 
 def trim_space(c: Column | str) -> Column:
     """Trims every Unicode space, not only U+0020."""
-    return F.regexp_replace(col(c), f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedlens.functions.scores import time_decay, trend_score
 from feedlens.operators import ordering
 from feedlens.operators.lexicon import lexicon_relevance
+from feedlens.operators.summarize import fill_summaries, fill_tags
 
 
 @dataclass(frozen=True)
@@ -80,16 +81,15 @@ def process_articles(
     sort_by: str = "",
     limit: int = 0,
     config: ordering.SortConfig = ordering.ARTICLE_SORT,
+    lexicon: dict[str, float] | None = None,
 ) -> DataFrame:
     """Fills missing summaries and tags, scores relevance for a query, sorts and limits.
 
     Any non-empty ``sort_by`` means the configured sort; its value is not used.
     """
-    from feedlens.operators.summarize import fill_summaries, fill_tags
-
     out = fill_summaries(df)
     if query:
-        out = lexicon_relevance(out, query)
+        out = lexicon_relevance(out, query, lexicon)
     out = fill_tags(out)
     if sort_by:
         out = out.orderBy(*ordering.order_articles_by(config, as_of))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from feedlens.workload.registry import ORACLES, QUERIES, Query
 
-MODULES = ["repos", "articles"]
+MODULES = ["repos", "articles", "topics", "corpus"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -22,6 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of long texts. One small file is a single read task, too few for text work, so
+    such an input is spread over the cores; a table of many files is read as it is."""
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository per part; its line items give stars, forks and the update time."""
     use = (
@@ -65,7 +73,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An article per document, with the columns of a raw article plus the scores."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc"), F.col("quality").alias("_label"))
     doc = F.col("doc_id")
     kinds = F.array(F.lit("rss"), F.lit("api"), F.lit("html"))
@@ -116,7 +124,7 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed payload per web page."""
-    return read(spark, sf_dir, "pages").select(
+    return read_texts(spark, sf_dir, "pages").select(
         F.col("url").alias("source_url"),
         F.col("html").alias("body"),
         F.array(F.lit("web")).alias("config_tags"),
