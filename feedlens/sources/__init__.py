@@ -1 +1 @@
-
+"""Parsers from landed payload tables to raw articles."""
