@@ -183,27 +183,31 @@ def first_sentences(c: Column | str, limit: int) -> Column:
     return F.when(value == "", "").when(picked == "", shorten(value, limit)).otherwise(F.concat(picked, F.lit(".")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_paragraph(c: Column | str) -> Column:
-    """The first paragraph that still has 31 to 500 bytes once cleaned, else a 200-byte start."""
+    """The first paragraph that still has 31 to 500 bytes once cleaned, else a 200-byte start.
+
+    Only one paragraph is returned, so only its common entities are decoded here: Arrow
+    functions cannot run inside an array lambda. ``tidy_content`` decodes the rest later.
+    """
     value = col(c)
     paragraphs = F.transform(F.split(value, "\n\n"), lambda p: trim_space(p))
-    long_ones = F.transform(
-        F.filter(paragraphs, lambda p: byte_len(p) > 50), lambda p: _light_clean(p)
+    cleaned = F.transform(F.filter(paragraphs, lambda p: byte_len(p) > 50), lambda p: _light_clean(p))
+    good = F.get(F.filter(cleaned, lambda p: (byte_len(p) > 30) & (byte_len(p) <= 500)), F.lit(0))
+    head = _once(
+        _light_clean(F.get(paragraphs, F.lit(0))), lambda h: F.when(h != "", shorten(h, 200))
     )
-    good = F.get(F.filter(long_ones, lambda p: (byte_len(p) > 30) & (byte_len(p) <= 500)), F.lit(0))
-    head = _light_clean(F.get(paragraphs, F.lit(0)))
-    return F.coalesce(good, F.when(head != "", shorten(head, 200)), shorten(value, 200))
+    return F.coalesce(good, head, shorten(value, 200))
 
 
 def _light_clean(c: Column) -> Column:
-    """``tidy_content`` for use inside array lambdas, where Arrow functions cannot run.
-
-    Decodes the common entities only; a text with others keeps them until the
-    summary itself is cleaned.
-    """
+    """``tidy_content`` without its size limit, which no caller reaches."""
     stripped = basic_entities(strip_tags(drop_scripts(c)))
-    printable = F.regexp_replace(stripped, r"[\p{Cc}&&[^\t\n\r]]", "")
-    return trim_space(shorten(collapse_space(printable), 50000))
+    return trim_space(collapse_space(F.regexp_replace(stripped, r"[\p{Cc}&&[^\t\n\r]]", "")))
 
 
 def wrap(c: Column | str, width: int, prefix: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import vocab
+from feedlens.functions.arrays import pin
 from feedlens.functions.identity import article_id, repo_id
 from feedlens.functions.scores import quality_score, trend_score
 from feedlens.functions.text import (
@@ -210,8 +211,9 @@ def prepare_by_source_type(raw: DataFrame, as_of: datetime | str) -> DataFrame:
     title, content, summary = F.col("title"), F.col("content"), F.col("summary")
     metadata = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
     undated = page & F.col("published_at").isNull()
-    return raw.withColumns(
-        {
+    return pin(
+        raw,
+        **{
             "title": F.when(rss, clean_rss_title(title))
             .when(api, unescape_json_title(title))
             .when(page, unescape(F.when(page, page_headline(title))))
@@ -226,7 +228,7 @@ def prepare_by_source_type(raw: DataFrame, as_of: datetime | str) -> DataFrame:
             "metadata": F.when(api, set_metadata(metadata, "api_processed", F.lit("true")))
             .when(undated, set_metadata(metadata, "date_fallback", F.lit("true")))
             .otherwise(metadata),
-        }
+        },
     )
 
 
@@ -252,30 +254,42 @@ def convert_articles(
     """
     missing = require_fields()
     texts = {c: text(c) for c in ("id", "title", "content", "summary", "author", "url", "source", "source_type", "language")}
-    prepared = prepare_by_source_type(raw.withColumns(texts).withColumn("_missing", missing), as_of)
+    prepared = prepare_by_source_type(pin(raw, **texts, _missing=missing), as_of)
     metadata = F.create_map().cast("map<string,string>")
     metadata = _with_text(metadata, "author", tidy_text("author"))
     metadata = _with_text(metadata, "language", F.lower(trim_space("language")))
-    given = derive_summary("summary", "content", options.max_summary)
-    staged = prepared.select(
+    # each text is cleaned once; later rules read the result instead of cleaning again
+    staged = pin(
+        prepared,
+        _title=trim_space(tidy_title("title", options.max_title)),
+        _url=trim_space(normalize_url("url", options.drop_tracking)),
+        _content=tidy_content("content", options.max_content),
+        _given=tidy_content("summary"),
+        _tags=normalize_tags("tags"),
+        _metadata=overlay(metadata, F.col("metadata")),
+    ).select(
         "ingest_seq",
         "_missing",
-        trim_space(tidy_title("title", options.max_title)).alias("title"),
-        trim_space(normalize_url("url", options.drop_tracking)).alias("url"),
+        "_given",
+        F.col("_title").alias("title"),
+        F.col("_url").alias("url"),
         normalize_source("source").alias("source"),
         normalize_source_type("source_type").alias("source_type"),
         F.coalesce(F.col("published_at"), at(as_of)).alias("published_at"),
-        tidy_content("content", options.max_content).alias("content"),
-        trim_space(given).alias("_summary"),
-        normalize_tags("tags").alias("tags"),
-        overlay(metadata, F.col("metadata")).alias("metadata"),
+        F.col("_content").alias("content"),
+        F.col("_tags").alias("tags"),
+        F.col("_metadata").alias("metadata"),
     )
+    derived = F.when(byte_len("_given").between(10, options.max_summary), F.col("_given")).otherwise(
+        first_sentences("content", options.max_summary)
+    )
+    staged = pin(staged, _summary=trim_space(derived))
     # a summary over the limit gets a second try at half of it
     summary = F.when(
         byte_len("_summary") > options.max_summary, shorten("_summary", options.max_summary // 2)
     ).otherwise(F.col("_summary"))
     scored = (
-        staged.withColumn("summary", summary)
+        pin(staged, summary=summary)
         .withColumn("id", article_id())
         .withColumn("relevance", F.lit(options.relevance))
         .withColumn("quality", quality_score(as_of))

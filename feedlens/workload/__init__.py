@@ -6,7 +6,7 @@ from importlib import import_module
 
 from feedlens.workload.registry import ORACLES, QUERIES, Query
 
-MODULES = ["repos", "articles", "topics", "corpus", "payloads", "web", "operations", "checks", "rendering"]
+MODULES = ["repos", "articles", "topics", "corpus", "payloads", "web", "operations", "checks", "rendering", "streams"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -22,6 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a file stream; time columns become zoned, as watermarks need."""
+    schema = read(spark, sf_dir, table).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
+
+
 def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of long texts. One small file is a single read task, too few for text work, so
     such an input is spread over the cores; a table of many files is read as it is."""
@@ -124,7 +131,12 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed payload per web page."""
-    return read_texts(spark, sf_dir, "pages").select(
+    return pages_of(read_texts(spark, sf_dir, "pages"))
+
+
+def pages_of(pages: DataFrame) -> DataFrame:
+    """The same for any table or stream of pages."""
+    return pages.select(
         F.col("url").alias("source_url"),
         F.col("html").alias("body"),
         F.array(F.lit("web")).alias("config_tags"),
@@ -141,9 +153,14 @@ def _k() -> Column:
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access-log row per event."""
+    return access_log_of(read(spark, sf_dir, "events"))
+
+
+def access_log_of(events: DataFrame) -> DataFrame:
+    """The same for any table or stream of events."""
     kind = F.col("event_type")
     types = F.array(F.lit("articles"), F.lit("repos"), F.lit("topics"), F.lit("pages"))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         "ts",
         F.when(kind.isin("view", "click"), "get")
