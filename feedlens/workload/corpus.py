@@ -215,10 +215,10 @@ def _keywords(spark, sf_dir):
     return summarize.extract_keywords(_cleaned(spark, sf_dir), "body")
 
 
-@query("score_sentences", _SCORED + "SELECT id, position, length, round(score, 6) AS score FROM scores")
+@query("score_sentences", _SCORED + "SELECT id, position, length, round(score, 10) AS score FROM scores")
 def _score(spark, sf_dir):
     rows = summarize.score_sentences(_cleaned(spark, sf_dir), "body")
-    return rows.select("id", "position", "length", F.round("score", 6).alias("score"))
+    return rows.select("id", "position", "length", F.round("score", 10).alias("score"))
 
 
 _SUMMARY = """

@@ -52,8 +52,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
         return False, f"columns {sorted(df.columns)} vs {sorted(names)}"
     left, right = canonical(df.columns, got), canonical(names, want)
     if left != right:
-        only_l = [r for r in left if r not in set(right)][:3]
-        only_r = [r for r in right if r not in set(left)][:3]
+        in_left, in_right = set(left), set(right)
+        only_l = [r for r in left if r not in in_right][:3]
+        only_r = [r for r in right if r not in in_left][:3]
         cut = lambda rs: "\n      ".join(str(r)[:700] for r in rs)
         return False, f"{len(left)} vs {len(right)} rows\n   spark only:\n      {cut(only_l)}\n   sql only:\n      {cut(only_r)}"
     types = {n: str(t) for n, t in zip(names, [d[1] for d in cur.description])}
