@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm.cover_tree import embedding_near_dedup
+from feedlens.llm.html_density import extract_main_text
 from feedlens.llm.vp_tree import nearest_neighbours
 
 
@@ -21,6 +22,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 _LIVE = """live AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
@@ -52,5 +57,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 QUERIES = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_html_extraction": op6_html_extraction,
 }
 ORACLES = {"op3_embedding_near_dedup": OP3_SQL, "op5_nearest_neighbours": OP5_SQL}
