@@ -12,6 +12,7 @@ from feedlens.llm.jaccard_join import ngram_jaccard_join
 from feedlens.llm.mixing import mixed_sizes
 from feedlens.llm.quality_qda import quality_scores
 from feedlens.llm.secrets import secret_scan, spans_text
+from feedlens.llm.toxicity import toxicity_scores
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +133,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir).filter(_remainder(5) != 0))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "score", "predicted")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir).filter(_remainder(3) != 1))
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
@@ -162,6 +169,7 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
