@@ -97,12 +97,37 @@ def inverse_document_frequency(corpus: DataFrame, terms: list[str]) -> DataFrame
     )
 
 
+def _keyword_frequencies(articles: DataFrame, terms: list[str]) -> DataFrame:
+    """Adds ``_tf0``, ``_tf1``, ...: the frequency of each term among the article's terms, NULL
+    where it does not occur. The words of a row are stemmed once; no row leaves its place."""
+    tags = F.array_join(F.coalesce("tags", empty_strings()), " ")
+    fields = {f"_w_{c}": (w, F.col(c)) for c, w in FIELD_WEIGHTS.items()} | {"_w_tags": (TAG_WEIGHT, tags)}
+
+    def kept(text: Column) -> Column:
+        stems = F.transform(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: stem(t))
+        counts = F.filter(stems, lambda t: (byte_len(t) > 2) & ~t.isin(vocab.TERM_STOP_WORDS))
+        return F.coalesce(counts, empty_strings())
+
+    split = pin(articles, **{name: kept(text) for name, (_, text) in fields.items()})
+    total = sum((F.size(name) * w for name, (w, _) in fields.items()), F.lit(0))
+    out = {}
+    for i, term in enumerate(terms):
+        uses = sum((F.size(F.filter(name, lambda t: t == term)) * w for name, (w, _) in fields.items()), F.lit(0))
+        out[f"_tf{i}"] = F.when(uses > 0, uses / total)
+    return split.withColumns(out).drop(*fields)
+
+
 def tfidf_score(
-    articles: DataFrame, keywords: list[str], corpus: DataFrame, weights: MatchWeights = MatchWeights()
+    articles: DataFrame,
+    keywords: list[str],
+    corpus: DataFrame,
+    weights: MatchWeights = MatchWeights(),
+    match: str | None = None,
 ) -> DataFrame:
     """Adds ``tfidf``: the squashed mean of tf x idf over the keywords that occur.
 
-    With an empty corpus it is half the keyword match score.
+    With an empty corpus it is half the keyword match score, taken from the column ``match`` if
+    it is there already.
     """
     if not keywords:
         return articles.withColumn("tfidf", F.lit(0.0))
@@ -116,13 +141,7 @@ def tfidf_score(
         )
     ).scalar()
     found = list(dict.fromkeys(v for pair in variants for v in pair))
-    frequencies = (
-        term_frequencies(articles)
-        .where(F.col("term").isin(found))
-        .groupBy("id")
-        .agg(*[F.max(F.when(F.col("term") == t, F.col("frequency"))).alias(f"_tf{i}") for i, t in enumerate(found)])
-    )
-    staged = articles.join(frequencies, "id", "left").withColumn("_corpus", statistics)
+    staged = _keyword_frequencies(articles, found).withColumn("_corpus", statistics)
     score, matched = F.lit(0.0), F.lit(0)
     for plain, stemmed in variants:
         tf = F.coalesce(F.col(f"_tf{found.index(plain)}"), F.col(f"_tf{found.index(stemmed)}"))
@@ -130,11 +149,11 @@ def tfidf_score(
         matched = matched + tf.isNotNull().cast("int")
     mean = score / matched
     squashed = F.when(matched == 0, F.lit(0.0)).otherwise(unit(F.lit(2.0) / (F.lit(1.0) + F.exp(-mean)) - 1))
-    matched_by_word = keyword_match(staged, keywords, weights, "_match")
-    fallback = F.col("_match") * F.lit(0.5)
-    return matched_by_word.withColumn(
-        "tfidf", F.when(F.col("_corpus.n") == 0, fallback).otherwise(squashed)
-    ).drop("_corpus", "_match", *[f"_tf{i}" for i in range(len(found))])
+    by_word = staged if match else keyword_match(staged, keywords, weights, "_match")
+    fallback = F.col(match or "_match") * F.lit(0.5)
+    return by_word.withColumn("tfidf", F.when(F.col("_corpus.n") == 0, fallback).otherwise(squashed)).drop(
+        "_corpus", "_match", *[f"_tf{i}" for i in range(len(found))]
+    )
 
 
 def relevance_score(
@@ -143,7 +162,8 @@ def relevance_score(
     """Sets ``relevance`` to 0.6 TF-IDF + 0.4 keyword match; 0 without keywords."""
     if not keywords:
         return articles.withColumn("relevance", F.lit(0.0))
-    scored = keyword_match(tfidf_score(articles, keywords, corpus, weights), keywords, weights, "_keyword")
+    matched = keyword_match(articles, keywords, weights, "_keyword")
+    scored = tfidf_score(matched, keywords, corpus, weights, "_keyword")
     mixed = F.col("tfidf") * F.lit(0.6) + F.col("_keyword") * F.lit(0.4)
     return scored.withColumn("relevance", unit(mixed)).drop("tfidf", "_keyword")
 

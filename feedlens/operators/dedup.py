@@ -12,15 +12,16 @@ from feedlens.functions.text import col
 
 
 def keep_first(df: DataFrame, key: Column | str, order: Column | str = "ingest_seq") -> DataFrame:
-    """One row per key: the one with the smallest ``order``.
+    """One row per key: the one with the smallest ``order``, which no two rows of a key share.
 
-    ``min_by`` is an aggregate, so every input partition shrinks each key to one row before
-    the shuffle. A key that holds a third of the table costs one row per partition, where a
-    ``row_number`` window would send the whole group to one task.
+    The least order of a key is a hash aggregate over two columns, combined before the shuffle.
+    The rows are then matched on key and order together, so the rows of a key that holds a third
+    of the table are spread, and columns that nobody reads later are not read here either.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    winners = df.groupBy(col(key).alias("_dedup_key")).agg(F.min_by(row, col(order)).alias("_row"))
-    return winners.select("_row.*")
+    marked = df.withColumns({"_dedup_key": col(key), "_dedup_order": col(order)})
+    first = marked.groupBy("_dedup_key").agg(F.min("_dedup_order").alias("_dedup_order"))
+    same = [marked[c].eqNullSafe(first[c]) for c in ("_dedup_key", "_dedup_order")]
+    return marked.join(first, same, "left_semi").drop("_dedup_key", "_dedup_order")
 
 
 def dedup_by_url(df: DataFrame, order: Column | str = "ingest_seq") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sort orders, limits and pages. Every order is total: ties end at the id, ascending."""
+"""Sort orders, limits and pages. Every order is total: ties end at the id and the arrival, ascending."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.scores import article_trend, composite_score, repo_composite
+from feedlens.operators.sequence import with_position
 
 
 def score_key(c: Column | str) -> Column:
@@ -20,6 +21,11 @@ def _directed(key: Column, ascending: bool) -> Column:
     return key.asc() if ascending else key.desc()
 
 
+def _last() -> list[Column]:
+    """The ids of repositories repeat, so the arrival decides last."""
+    return [F.col("id").asc(), F.col("ingest_seq").asc()]
+
+
 # --- collected articles -----------------------------------------------------------------
 
 
@@ -39,7 +45,7 @@ def order_weekly(by: str = "relevance") -> list[Column]:
         "date": F.col("published_at").desc(),
         "title": F.col("title").asc(),
     }
-    return [keys.get(by, score_key("relevance").desc()), F.col("id").asc()]
+    return [keys.get(by, score_key("relevance").desc()), *_last()]
 
 
 def order_repos(by: str = "trending") -> list[Column]:
@@ -48,7 +54,7 @@ def order_repos(by: str = "trending") -> list[Column]:
         "forks": F.col("forks").desc(),
         "updated": F.col("updated_at").desc(),
     }
-    return [keys.get(by, score_key("trend_score").desc()), F.col("id").asc()]
+    return [keys.get(by, score_key("trend_score").desc()), *_last()]
 
 
 def order_topic(by: str, entity: str) -> list[Column]:
@@ -64,7 +70,7 @@ def order_topic(by: str, entity: str) -> list[Column]:
         key = F.col(count).desc()
     else:
         return [F.col("ingest_seq").asc()]
-    return [key, F.col("id").asc()]
+    return [key, *_last()]
 
 
 # --- configurable sorter ----------------------------------------------------------------
@@ -138,7 +144,7 @@ def _two_keys(metrics: dict, config: SortConfig, fallback: str | None) -> list[C
         metric = metrics.get(name) or metrics.get(fallback)
         if metric is not None:
             keys.append(_directed(metric(), config.order == "asc"))
-    return keys + [F.col("id").asc()]
+    return [*keys, *_last()]
 
 
 # --- rendering --------------------------------------------------------------------------
@@ -161,7 +167,7 @@ def order_for_render(entity: str, by: str = "relevance", direction: str = "desc"
         }
         default = "trend_score"
     key = keys[by]() if by in keys else score_key(default)
-    return [_directed(key, direction == "asc"), F.col("id").asc()]
+    return [_directed(key, direction == "asc"), *_last()]
 
 
 # --- limits and pages -------------------------------------------------------------------
@@ -187,6 +193,10 @@ def proportional_quota(n: int) -> tuple[int, int, int]:
     return third, third, n - 2 * third
 
 
+#: Rows that one task may gather to cut a page.
+NEAR = 10_000
+
+
 @dataclass(frozen=True)
 class Page:
     rows: DataFrame
@@ -201,10 +211,19 @@ def validate_page(page: int, size: int) -> None:
 
 
 def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> Page:
-    """One page of the sorted rows and its totals; numbers below one take the defaults."""
+    """One page of the sorted rows and its totals; numbers below one take the defaults.
+
+    A page among the first ``NEAR`` rows is a limit, which one task gathers; a later one is cut
+    out by position, so no task holds the rows before it.
+    """
     size = size if size > 0 else 20
     page = page if page > 0 else 1
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    first = (page - 1) * size
+    if first + size <= NEAR:
+        rows = df.orderBy(*order).offset(first).limit(size)
+    else:
+        placed = with_position(df, order, "_position")
+        rows = placed.where(F.col("_position").between(first + 1, first + size)).orderBy("_position").drop("_position")
     total = F.count(F.lit(1))
     pages = F.ceil(total / F.lit(size)).cast("long")
     info = df.agg(

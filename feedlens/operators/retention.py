@@ -202,16 +202,14 @@ def cleanup_run_stats(runs: DataFrame) -> DataFrame:
     return runs.rollup("strategy").agg(*measures).withColumn("strategy", F.coalesce("strategy", F.lit("all")))
 
 
-def average_cleanup_ms(runs: DataFrame, memory: int = 64) -> DataFrame:
-    """The running mean (mean + duration) / 2 over runs in time order, as one row.
+def average_cleanup_ms(runs: DataFrame) -> DataFrame:
+    """The running mean (mean + duration) / 2 over all runs in time order, as one row.
 
-    A run weighs half of the run after it, so what lies more than 64 runs back is below the
-    precision of a double and the latest runs decide the value.
+    Unrolled, a run weighs half of the run after it and the first as much as the second, so the
+    mean is one sum over numbered runs.
     """
-    latest = runs.orderBy(F.desc("ts"), F.desc("seq")).limit(memory)
-    ordered = latest.agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "duration_ms"))).alias("r"))
-    start = F.get("r", F.lit(0))["duration_ms"].cast("double")
-    rest = F.slice("r", 2, memory)
-    return ordered.select(
-        F.aggregate(rest, start, lambda acc, r: (acc + r["duration_ms"]) / 2).alias("average_ms")
-    )
+    placed = with_position(runs.select("ts", "seq", "duration_ms"), [F.col("ts").asc(), F.col("seq").asc()], "_run")
+    count = placed.agg(F.count(F.lit(1))).scalar()
+    halvings = count - F.greatest(F.col("_run"), F.lit(2)) + 1
+    weight = F.when(count == 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), -halvings.cast("double")))
+    return placed.agg(F.sum(F.col("duration_ms") * weight).alias("average_ms"))

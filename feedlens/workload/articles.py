@@ -9,6 +9,7 @@ from feedlens.functions.identity import article_hash, article_id
 from feedlens.operators import conform, filters, ordering, personalize, reports
 from feedlens.operators.dedup import dedup_articles, dedup_by_url, union_sources
 from feedlens.operators.lexicon import lexicon_relevance
+from feedlens.operators.sequence import with_position
 from feedlens.plans.weekly import weekly_news
 from feedlens.workload import bindings as b
 from feedlens.workload.registry import query
@@ -404,12 +405,11 @@ for _name, _config, _order in [
     @query(
         f"sort_articles_{_name}",
         b.views("articles", more=_SCORED)
-        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM s QUALIFY position <= 60",
+        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM s",
     )
     def _sort(spark, sf_dir, config=_config):
         order = ordering.order_articles_by(config, b.AS_OF)
-        best = ordering.top(_scored(spark, sf_dir), order, 60)
-        return ordering.numbered(best, order, "position").select("id", "position")
+        return with_position(_scored(spark, sf_dir).drop("content"), order).select("id", "position")
 
 
 for _by, _asc, _order in [
@@ -422,13 +422,11 @@ for _by, _asc, _order in [
     @query(
         f"order_articles_by_{_by}",
         b.views("articles")
-        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM articles QUALIFY position <= 80",
+        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM articles",
     )
     def _order_by(spark, sf_dir, by=_by, ascending=_asc):
         order = ordering.order_articles(by, ascending)
-        return ordering.numbered(ordering.top(b.articles(spark, sf_dir), order, 80), order, "position").select(
-            "id", "position"
-        )
+        return with_position(b.articles(spark, sf_dir).drop("content"), order).select("id", "position")
 
 
 for _by, _dir, _order in [
@@ -441,13 +439,11 @@ for _by, _dir, _order in [
     @query(
         f"render_order_articles_{_by}",
         b.views("articles", more=_SCORED)
-        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM s QUALIFY position <= 40",
+        + f"SELECT id, row_number() OVER (ORDER BY {_order}) AS position FROM s",
     )
     def _render_order(spark, sf_dir, by=_by, direction=_dir):
         order = ordering.order_for_render("articles", by, direction)
-        return ordering.numbered(ordering.top(_scored(spark, sf_dir), order, 40), order, "position").select(
-            "id", "position"
-        )
+        return with_position(_scored(spark, sf_dir).drop("content"), order).select("id", "position")
 
 
 @query(

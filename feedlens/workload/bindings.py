@@ -29,14 +29,6 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of long texts. One small file is a single read task, too few for text work, so
-    such an input is spread over the cores; a table of many files is read as it is."""
-    df = read(spark, sf_dir, table)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository per part; its line items give stars, forks and the update time."""
     use = (
@@ -80,7 +72,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An article per document, with the columns of a raw article plus the scores."""
-    docs = read_texts(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc"), F.col("quality").alias("_label"))
     doc = F.col("doc_id")
     kinds = F.array(F.lit("rss"), F.lit("api"), F.lit("html"))
@@ -104,16 +96,18 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A discussion per conversation: its first user turn as title, its last turn as content.
+    """A discussion per conversation: its first user turn as title, all turns in order as content.
 
-    Only aggregates that combine before the shuffle, so a very long conversation stays cheap.
+    The turns of one conversation are one record, so they are joined in the row that holds them.
     """
     turns = read(spark, sf_dir, "conversations")
     conv = F.col("conv_id")
     platforms = F.array(F.lit("stackoverflow"), F.lit("reddit"), F.lit("github"))
     grouped = turns.groupBy("conv_id").agg(
         F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("title"),
-        F.max_by("text", "turn").alias("content"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias(
+            "content"
+        ),
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("role") == "assistant").alias("score"),
     )
@@ -131,7 +125,7 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed payload per web page."""
-    return pages_of(read_texts(spark, sf_dir, "pages"))
+    return pages_of(read(spark, sf_dir, "pages"))
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
@@ -260,7 +254,7 @@ articles AS (
 discussions AS (
   SELECT CAST(conv_id AS VARCHAR) AS id,
          coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS title,
-         arg_max(text, turn) AS content,
+         string_agg(text, chr(10) ORDER BY turn) AS content,
          CASE conv_id % 3 WHEN 0 THEN 'stackoverflow' WHEN 1 THEN 'reddit' ELSE 'github' END AS platform,
          count(*) FILTER (WHERE role = 'assistant') AS score, count(*) - 1 AS replies,
          TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(conv_id AS INTEGER)) AS created_at,

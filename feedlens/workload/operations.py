@@ -423,7 +423,13 @@ def _runs(spark, sf_dir):
     )
 
 
-@query("average_cleanup_time")
+@query(
+    "average_cleanup_time",
+    LOG
+    + """SELECT round(sum(duration_ms * CASE WHEN n = 1 THEN 1e0 ELSE pow(2e0, greatest(i, 2) - n - 1) END), 6) AS average_ms
+         FROM (SELECT duration_ms, row_number() OVER (ORDER BY ts, seq) AS i, count(*) OVER () AS n
+               FROM access_log WHERE op = 'delete')""",
+)
 def _average(spark, sf_dir):
     runs = b.access_log(spark, sf_dir).where(F.col("op") == "delete")
     return _rounded(retention.average_cleanup_ms(runs), "average_ms")

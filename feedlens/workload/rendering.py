@@ -28,7 +28,7 @@ def _md(expr: str) -> str:
 
 @query("escape_markdown", f"SELECT doc_id, md5({_md('text')}) AS escaped FROM documents")
 def _escape(spark, sf_dir):
-    return b.read_texts(spark, sf_dir, "documents").select("doc_id", F.md5(tx.escape_markdown("text")).alias("escaped"))
+    return b.read(spark, sf_dir, "documents").select("doc_id", F.md5(tx.escape_markdown("text")).alias("escaped"))
 
 
 @query(
@@ -42,7 +42,7 @@ def _escape(spark, sf_dir):
                            ELSE {'done': '', 'line': a.line || ' ' || x.line} END).line END) AS wrapped FROM w""",
 )
 def _wrap(spark, sf_dir):
-    rows = b.read_texts(spark, sf_dir, "documents")
+    rows = b.read(spark, sf_dir, "documents")
     return rows.select("doc_id", F.md5(tx.wrap(tx.display_text("text"), 76, "    ")).alias("wrapped"))
 
 

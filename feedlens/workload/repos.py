@@ -9,6 +9,7 @@ from feedlens.functions import scores
 from feedlens.functions.identity import repo_hash, repo_id
 from feedlens.operators import conform, filters, ordering, personalize, reports
 from feedlens.operators.dedup import dedup_repos
+from feedlens.operators.sequence import with_position
 from feedlens.plans.trending import trending_repos
 from feedlens.workload import bindings as b
 from feedlens.workload.registry import query
@@ -291,14 +292,14 @@ _COMPOSITE_SQL = """(trend_score * 0.2e0
 @query(
     "sort_repos_composite",
     b.views("repositories", more=f"s AS (SELECT *, {b.TREND_SQL} AS trend_score FROM repositories)")
-    + f"""SELECT ingest_seq, round({_COMPOSITE_SQL}, 6) AS composite FROM s
-          ORDER BY round({_COMPOSITE_SQL}, 9) DESC, stars DESC, id LIMIT 50""",
+    + f"""SELECT ingest_seq, round({_COMPOSITE_SQL}, 6) AS composite,
+          row_number() OVER (ORDER BY round({_COMPOSITE_SQL}, 9) DESC, stars DESC, id, ingest_seq) AS position FROM s""",
 )
 def _composite(spark, sf_dir):
     repos = b.repositories(spark, sf_dir).withColumn("trend_score", scores.trend_score(b.REPO_AS_OF))
     config = ordering.SortConfig("composite", "popularity", "desc", 0.2, 0.3, 0.3, 0.2)
-    best = ordering.top(repos, ordering.order_repos_by(config, b.REPO_AS_OF), 50)
-    return best.select("ingest_seq", F.round(scores.repo_composite(b.REPO_AS_OF), 6).alias("composite"))
+    placed = with_position(repos, ordering.order_repos_by(config, b.REPO_AS_OF))
+    return placed.select("ingest_seq", F.round(scores.repo_composite(b.REPO_AS_OF), 6).alias("composite"), "position")
 
 
 @query(
@@ -315,13 +316,12 @@ def _process(spark, sf_dir):
 @query(
     "render_order_repos",
     b.views("repositories")
-    + "SELECT ingest_seq, row_number() OVER (ORDER BY lower(name), id, ingest_seq) AS position FROM repositories "
-    "QUALIFY position <= 40",
+    + "SELECT ingest_seq, row_number() OVER (ORDER BY lower(name), id, ingest_seq) AS position FROM repositories",
 )
 def _render_order(spark, sf_dir):
     repos = b.repositories(spark, sf_dir)
-    order = ordering.order_for_render("repositories", "title", "asc") + [F.col("ingest_seq").asc()]
-    return ordering.numbered(ordering.top(repos, order, 40), order, "position").select("ingest_seq", "position")
+    order = ordering.order_for_render("repositories", "title", "asc")
+    return with_position(repos, order).select("ingest_seq", "position")
 
 
 @query(
