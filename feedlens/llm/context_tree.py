@@ -287,7 +287,7 @@ def _score(depth: int, head, model, spell: bool):
                         batch.column("id").slice(a, size),
                         pa.array(words.astype(np.int64)),
                         pa.array(np.bincount(rows[known], minlength=size).astype(np.int64)),
-                        pa.array(logs),
+                        pa.array(logs.astype(np.float64)),
                         pa.array(np.diff(bounds)),
                         pa.array(p),
                         rest,

@@ -57,11 +57,11 @@ def secret_scan(
     repository_cols: tuple[str, ...] = ("source", "lang"),
     example_owners: int = 3,
 ) -> DataFrame:
-    """(doc_id, base, found), one row per input row.
+    """(doc_id, text_hash, base, found), one row per input row.
 
     ``base`` has the spans of the three base kinds: ``start`` and ``end`` (code points, end
     exclusive), ``kind``, and ``value``, a 64-bit hash of the secret, ordered by start and kind.
-    ``found`` has these and the opaque strings (32 or more characters with both cases and digits,
+    ``text_hash`` is the xxhash64 of the text. ``found`` has these and the opaque strings (32 or more characters with both cases and digits,
     outside base spans) of a single owner, each with ``documents``, ``repositories``, ``owners``
     of its value and a ``verdict``: "example" from ``example_owners`` owners on, "live" with one
     owner, else "shared".
@@ -85,8 +85,8 @@ def secret_scan(
             F.coalesce(F.col(owner_col).cast("string"), F.lit("\0")).alias("owner"),
             repository.alias("repository"),
         )
-        .select("doc_id", "owner", "repository", base.alias("base"), opaque.alias("opaque"))
-        .select("doc_id", "owner", "repository", "base", clear.alias("opaque"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "owner", "repository", F.xxhash64("text").alias("text_hash"), base.alias("base"), opaque.alias("opaque"))
+        .withColumns({"opaque": clear, "row": F.monotonically_increasing_id()})
         .checkpoint()
     )
     spans = scanned.select("row", "owner", "repository", F.explode(F.concat("base", "opaque")).alias("span"))
@@ -116,6 +116,7 @@ def secret_scan(
     none = "array<struct<start:int,kind:int,end:int,value:bigint,uses:bigint,repositories:bigint,owners:bigint,verdict:string>>"
     return scanned.join(found, "row", "left").select(
         "doc_id",
+        "text_hash",
         named(F.col("base"), ["value"]).alias("base"),
         named(F.coalesce("found", F.array().cast(none)), fields[3:]).alias("found"),
     )
@@ -127,26 +128,26 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, scan: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with the values' spans that are not widely copied examples replaced by ``mark``.
+    """The documents with the spans that are no widely copied examples replaced by ``mark``.
 
-    Overlapping spans are replaced together. Null texts stay null. ``scan`` is the result of
-    ``secret_scan`` over the same rows; rows that share an id are matched by id, so each of their
-    texts is cut only at spans of its own when ids are unique.
+    ``scan`` is the result of ``secret_scan`` over the same rows; rows are matched by id and text.
+    Overlapping spans are replaced together. Null texts stay null.
     """
     spans = F.filter("found", lambda s: s["verdict"] != "example")
-    marked = scan.select(F.col("doc_id").alias("_id"), spans.alias("_spans")).filter(F.size("_spans") > 0)
+    marked = scan.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), spans.alias("spans"))
+    marked = marked.filter(F.size("spans") > 0).dropDuplicates(["id", "hash"])
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.when(
-            s["start"] >= acc["at"],
-            F.concat(F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)),
-        ).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        more = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        "_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col)))
-    )
-    joined = docs.join(marked, docs[id_col] == F.col("_id"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    cut = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    packed = packed.withColumns({"own_id": F.col("row")[id_col], "own_hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+    same = packed["own_id"].eqNullSafe(marked["id"]) & (packed["own_hash"] == marked["hash"])
+    joined = packed.join(marked, same, "left")
+    new = F.when(F.col("spans").isNull(), text).otherwise(cut)
+    return joined.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
