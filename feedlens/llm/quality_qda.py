@@ -106,15 +106,21 @@ class Discriminant:
     centres: np.ndarray
     factors: np.ndarray
     offsets: np.ndarray
+    prior: float
     temperature: float
+    weak_words: float = 10.0
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """Likelihood of class 1. The evidence of a text of w words counts w / (w + ``weak_words``)
+        beside the prior, since statistics of few words vary at random."""
         z = (x - self.mean) / self.scale
         density = []
         for c in (0, 1):
             solved = np.linalg.solve(self.factors[c], (z - self.centres[c]).T)
             density.append(self.offsets[c] - 0.5 * (solved**2).sum(axis=0))
-        return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / self.temperature, -500, 500)))
+        words = np.expm1(x[:, 0])
+        evidence = (density[1] - density[0]) / self.temperature * words / (words + self.weak_words)
+        return 1 / (1 + np.exp(-np.clip(evidence + self.prior, -500, 500)))
 
 
 def _fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float, temperature: float) -> Discriminant:
@@ -122,7 +128,7 @@ def _fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float
     count = {c: sums[c][0] if c in sums else 0.0 for c in (0, 1)}
     total = sum(count.values())
     if not total:
-        return Discriminant(np.zeros(d), np.ones(d), np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), temperature)
+        return Discriminant(np.zeros(d), np.ones(d), np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), 0.0, temperature)
     mean = sum(s[1] for s in sums.values()) / total
     square = sum(s[2] for s in sums.values()) / total
     scale = np.sqrt(np.maximum(np.diag(square) - mean**2, 1e-8))
@@ -139,8 +145,9 @@ def _fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float
             spread = weight * own + (1 - weight) * pooled
         spread = (1 - shrinkage) * spread + shrinkage * np.eye(d)
         factors.append(np.linalg.cholesky(spread))
-        offsets.append(np.log((n + 1) / (total + 2)) - np.log(np.diag(factors[-1])).sum())
-    return Discriminant(mean, scale, centres, np.stack(factors), np.array(offsets), temperature)
+        offsets.append(-np.log(np.diag(factors[-1])).sum())
+    prior = float(np.log((count[1] + 1) / (count[0] + 1)))
+    return Discriminant(mean, scale, centres, np.stack(factors), np.array(offsets), prior, temperature)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,7 +142,8 @@ class Distances:
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, scale and logistic weights; the level 0.5 lies where both classes are told best."""
+    """Centre, scale and logistic weights; the level 0.5 lies where the classes are told best, an
+    ordinary text that is marked counting three times its share."""
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - centre) / scale])
     w = np.zeros(z.shape[1])
@@ -154,7 +155,7 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(level)
     below = np.append(0, np.cumsum(y[order]))  # toxic texts under each cut
     clean = np.append(0, np.cumsum(1 - y[order]))
-    told = clean / max(1, clean[-1]) - below / max(1, below[-1])
+    told = 3 * clean / max(1, clean[-1]) - below / max(1, below[-1])
     cuts = np.flatnonzero(told >= told.max() - 1e-12)
     edges = np.concatenate([[level[order[0]] - 1], (level[order][1:] + level[order][:-1]) / 2, [level[order[-1]] + 1]])
     w[0] -= edges[cuts[len(cuts) // 2]]
