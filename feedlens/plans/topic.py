@@ -79,5 +79,11 @@ def topic_search(
             "keywords": reports.search_keywords(rows["articles"]),
             "platforms": reports.platform_info(rows["articles"], rows["discussions"]),
         },
-        settings={"query": query, "searched_at": moment(as_of), "output": output, "max_summary": 150},
+        settings={
+            "query": query,
+            "searched_at": moment(as_of),
+            "output": output,
+            "max_summary": 150,
+            "order": {name: ordering.order_topic(sort_by, name) for name in rows},
+        },
     )

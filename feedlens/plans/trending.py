@@ -45,7 +45,8 @@ def trending_repos(
     unique = dedup_repos(repos)
     kept = filters.filter_repos(unique, min_stars, include_forks, frontend_only, category)
     scored = kept.withColumn("trend_score", trend_score(as_of))
-    ranked = ordering.top(scored, ordering.order_repos(sort_by), max_results)
+    order = ordering.order_repos(sort_by)
+    ranked = ordering.top(scored, order, max_results)
     count = ranked.agg(F.count(F.lit(1)).alias("total_count")).withColumn("filter_count", F.col("total_count"))
     return QueryResult(
         rows={"repositories": ranked},
@@ -58,5 +59,11 @@ def trending_repos(
             "hosts": reports.repo_hosts(ranked, as_of),
             "totals": count,
         },
-        settings={"language": language, "time_range": time_range, "output": output, "max_summary": 150},
+        settings={
+            "language": language,
+            "time_range": time_range,
+            "output": output,
+            "max_summary": 150,
+            "order": {"repositories": order},
+        },
     )

@@ -45,7 +45,8 @@ def weekly_news(
     kept = filters.filter_min_quality(kept, min_quality)
     kept = filters.filter_category_articles(kept, category, category_match)
     scored = lexicon_relevance(kept, category, lexicon)
-    ranked = ordering.top(scored, ordering.order_weekly(sort_by), max_results)
+    order = ordering.order_weekly(sort_by)
+    ranked = ordering.top(scored, order, max_results)
     return QueryResult(
         rows={"articles": ranked},
         reports={
@@ -54,5 +55,5 @@ def weekly_news(
             "totals": reports.weekly_totals(unique, ranked, period),
             "summary": reports.digest_text(ranked, period),
         },
-        settings={"period": period, "output": output, "max_summary": 200},
+        settings={"period": period, "output": output, "max_summary": 200, "order": {"articles": order}},
     )

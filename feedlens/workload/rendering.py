@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import text as tx
 from feedlens.operators import conform
-from feedlens.plans.render import render
+from feedlens.plans.render import render, whole_result
 from feedlens.plans.weekly import weekly_news
 from feedlens.sinks import documents
 from feedlens.sinks.settings import RenderSettings
@@ -126,3 +126,93 @@ for _output in ("json", "markdown", "text"):
     @query(f"render_trending_{_output}")
     def _one(spark, sf_dir, output=_output):
         return render(_ranked(spark, sf_dir), b.REPO_AS_OF, output)
+
+
+# --- a whole result as JSON -------------------------------------------------------------
+
+
+def _read_back(report, shape: str):
+    return report.select(F.from_json("report", shape).alias("r"))
+
+
+def _pairs(array: str, name: str = "name"):
+    return F.array_join(F.transform(array, lambda s: F.concat_ws(":", s[name], s["count"])), ",")
+
+
+def _ids(entity: str):
+    return F.array_join(F.col(f"r.{entity}.id"), ",")
+
+
+_SOURCES = "(SELECT string_agg(name || ':' || c, ',' ORDER BY c DESC, name) FROM (SELECT {} AS name, count(*) AS c FROM {} GROUP BY 1))"
+
+
+@query(
+    "weekly_result_json",
+    WEEKLY
+    + f"""SELECT (SELECT string_agg(id, ',' ORDER BY rank) FROM ranked) AS ids, (SELECT count(*) FROM unique_articles) AS total,
+         (SELECT count(*) FROM ranked) AS kept, '2024-01-24..2024-01-31/7' AS period, {_SOURCES.format("source", "unique_articles")} AS sources,
+         (SELECT string_agg(title, chr(10) ORDER BY rank) FROM ranked) AS titles""",
+)
+def _weekly_json(spark, sf_dir):
+    result = weekly_news(conform.to_articles(b.articles(spark, sf_dir), b.AS_OF), b.AS_OF, lexicon=LEXICON)
+    shape = (
+        "articles array<struct<id:string,title:string>>, totalCount long, filterCount long, "
+        "period struct<start:string,end:string,days:int>, sources array<struct<name:string,count:long>>"
+    )
+    return _read_back(whole_result(result, b.AS_OF), shape).select(
+        _ids("articles").alias("ids"),
+        F.col("r.totalCount").alias("total"),
+        F.col("r.filterCount").alias("kept"),
+        F.format_string("%s..%s/%d", "r.period.start", "r.period.end", "r.period.days").alias("period"),
+        _pairs("r.sources").alias("sources"),
+        F.array_join("r.articles.title", "\n").alias("titles"),
+    )
+
+
+@query(
+    "trending_result_json",
+    TOP30
+    + f"""SELECT (SELECT string_agg(id, ',' ORDER BY rank) FROM ranked) AS ids, (SELECT count(*) FROM ranked) AS kept, 'weekly' AS time_range,
+         (SELECT CAST(sum(stars) AS BIGINT) FROM ranked) AS stars,
+         {_SOURCES.format("CASE WHEN contains(url, 'gitlab') THEN 'GitLab' WHEN contains(url, 'bitbucket') THEN 'Bitbucket' ELSE 'GitHub' END", "ranked")} AS sources,
+         (SELECT string_agg(name || ':' || c, ',' ORDER BY c DESC, name) FROM (
+            SELECT language AS name, count(*) AS c FROM ranked WHERE language <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS languages""",
+)
+def _trending_json(spark, sf_dir):
+    shape = (
+        "repositories array<struct<id:string>>, filterCount long, timeRange string, sources array<struct<name:string,count:long>>, "
+        "summary struct<totalStars:long, topLanguages:array<struct<name:string,count:long>>>"
+    )
+    return _read_back(whole_result(_ranked(spark, sf_dir), b.REPO_AS_OF, indent=False), shape).select(
+        _ids("repositories").alias("ids"),
+        F.col("r.filterCount").alias("kept"),
+        F.col("r.timeRange").alias("time_range"),
+        F.col("r.summary.totalStars").alias("stars"),
+        _pairs("r.sources").alias("sources"),
+        _pairs("r.summary.topLanguages").alias("languages"),
+    )
+
+
+@query(
+    "topic_result_json",
+    topics.SEARCH
+    + """SELECT 'ention the javascript' AS query, (SELECT count(*) FROM top_a) AS articles, (SELECT count(*) FROM top_r) AS repositories,
+         (SELECT count(*) FROM top_d) AS discussions,
+         (SELECT count(*) FROM top_a) + (SELECT count(*) FROM top_r) + (SELECT count(*) FROM top_d) AS total,
+         coalesce((SELECT string_agg(i, ',' ORDER BY s) FROM (SELECT CAST(ingest_seq AS VARCHAR) AS i, ingest_seq AS s FROM top_d)), '') AS talks""",
+)
+def _topic_json(spark, sf_dir):
+    shape = (
+        "query string, articles array<struct<id:string>>, repositories array<struct<id:string>>, "
+        "discussions array<struct<id:string>>, totalResults long"
+    )
+    count = lambda entity: F.size(f"r.{entity}").cast("long").alias(entity)
+    talks = F.array_sort(F.transform("r.discussions.id", lambda i: i.cast("long")))
+    return _read_back(whole_result(topics._search(spark, sf_dir), b.AS_OF), shape).select(
+        F.col("r.query").alias("query"),
+        count("articles"),
+        count("repositories"),
+        count("discussions"),
+        F.col("r.totalResults").alias("total"),
+        F.array_join(talks.cast("array<string>"), ",").alias("talks"),
+    )
