@@ -183,9 +183,23 @@ def batch_joiner(settings: RenderSettings) -> str:
     return f"\n{_RULE}\n" if settings.output == "text" else ","
 
 
-def write_batches(batches: DataFrame, path: str) -> None:
-    """Text files in batch order, one per range of batches."""
-    batches.repartitionByRange("batch").sortWithinPartitions("batch").select("body").write.text(path)
+def combined_batches(batches: DataFrame, settings: RenderSettings) -> DataFrame:
+    """(batch, body): bodies that make one valid output when they follow each other in batch order.
+
+    Joiners stand before all batches but the first; JSON gets its brackets at both ends. No
+    batch leaves its row.
+    """
+    json = settings.output not in ("markdown", "text")
+    first, last = batches.agg(F.min("batch").alias("a"), F.max("batch").alias("b")).first() or (None, None)
+    before = F.when(F.col("batch") == first, "[" if json else "").otherwise(batch_joiner(settings))
+    after = F.when(F.col("batch") == last, "]").otherwise("") if json else F.lit("")
+    return batches.select("batch", F.concat(before, "body", after).alias("body"))
+
+
+def write_batches(batches: DataFrame, path: str, settings: RenderSettings) -> None:
+    """Text files in batch order, one per range of batches, that read one after the other are the whole output."""
+    whole = combined_batches(batches, settings)
+    whole.repartitionByRange("batch").sortWithinPartitions("batch").select("body").write.text(path)
 
 
 # --- registry ---------------------------------------------------------------------------

@@ -64,7 +64,7 @@ def test_batches(spark, rows, tmp_path):
     got = documents.render_batches(many, "articles", settings, NOW).orderBy("batch").collect()
     assert [(r.batch, r["items"]) for r in got] == [(0, 100), (1, 100), (2, 30)]
     assert "[1] t200\n" in got[2].body and documents.batch_joiner(settings).startswith("\n-")
-    documents.write_batches(documents.render_batches(many, "articles", settings, NOW), str(tmp_path / "out"))
+    documents.write_batches(documents.render_batches(many, "articles", settings, NOW), str(tmp_path / "out"), settings)
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).count() >= 1
 
 
@@ -74,3 +74,11 @@ def test_render_result_and_registry(spark, rows):
     assert report(render(result, NOW, "markdown")).startswith("# Repositories")
     result.release()
     assert documents.renderer_for("pdf") is documents.renderer_for("json")
+
+
+def test_json_batches_are_one_list(spark):
+    many = articles(spark, [dict(id=str(i), title=f"t{i:03d}") for i in range(250)])
+    settings = RenderSettings(sort_by="title", sort_order="asc")
+    whole = documents.combined_batches(documents.render_batches(many, "articles", settings, NOW), settings)
+    bodies = [r.body for r in whole.orderBy("batch").collect()]
+    assert len(bodies) == 3 and [i["id"] for i in json.loads("".join(bodies))] == [str(i) for i in range(250)]
