@@ -10,12 +10,14 @@
    and a subtree is left when what remains on both sides cannot reach the needed overlap.
    Members that are already connected are not compared again.
 
-A cell of many shingles is cut into blocks that share a few leaders; afterwards only the sets
-outside the cell's largest component visit the other blocks. No pair is lost either way.
+A cell of many sets is cut into blocks that share a few leaders; afterwards only the sets outside
+the cell's largest component visit the other blocks, block by block, so a step of a task holds two
+blocks at most. No pair is lost either way.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from feedlens.llm.arrays import Forest, mix, runs, shingle_sets
 from feedlens.llm.components import components
 from feedlens.session import ensure_checkpoint_dir
 
-_SLOTS = 1 << 20  # of the order table: 4 MB, whatever the corpus
-_PIECE = 1 << 16
+_SLOTS = 1 << 22  # of the order table: 16 MB, whatever the corpus
+_PIECE = 1 << 17
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -37,7 +39,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64)
+    return (shingles >> np.uint64(42)).astype(np.int64)
 
 
 def _counted(column, width: int, counts: np.ndarray) -> tuple[list[int], list[int]]:
@@ -71,7 +73,7 @@ def _measure(width: int):
             seen |= bool(n)
             yield batch_of(batch.column("id").to_pylist(), n, nodes, [None] * len(n), [None] * len(n))
         for k in range(0, _SLOTS if seen else 0, _PIECE):
-            yield batch_of([None], [None], [None], [k // _PIECE], [counts[k : k + _PIECE].tobytes()])
+            yield batch_of([None], [None], [None], [k // _PIECE], [zlib.compress(counts[k : k + _PIECE].tobytes(), 1)])
 
     return run
 
@@ -80,24 +82,25 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, c in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, np.uint64(0)) + np.frombuffer(c, np.uint32).astype(np.uint64)
+            total[k] = total.get(k, np.uint64(0)) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
     keys = list(total)
-    counts = [total[k].tobytes() for k in keys]
+    counts = [np.minimum(total[k], (1 << 23) - 1).astype(np.uint32).tobytes() for k in keys]  # enough for an order
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts, pa.binary())], ["piece", "counts"])
 
 
 def _order_table(pieces: DataFrame) -> np.ndarray:
-    """The corpus-wide slot counts, always _SLOTS numbers; 24 bits are enough for an order."""
+    """The corpus-wide slot counts, always _SLOTS numbers."""
     table = np.zeros(_SLOTS, np.uint32)
     added = pieces.repartition(_SLOTS // _PIECE, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
     for k, c in added.collect():
-        table[k * _PIECE : (k + 1) * _PIECE] = np.minimum(np.frombuffer(c, np.uint64), (1 << 23) - 1)
+        table[k * _PIECE : (k + 1) * _PIECE] = np.frombuffer(c, np.uint32)
     return table
 
 
 def _postings(width: int, percent: int, table, hot: int):
-    """(token, n, node) for the first shingles of each set in the global order.
+    """(token, n, node, early) for the first shingles of each set in the global order.
 
+    ``early`` marks those among which a set shares one with every similar set that is not smaller.
     A set is written once per task. Of a token above ``hot`` counts a task writes only the least
     and the largest set of each size class, and ties the others to the class in the task, so the
     token's rows grow with the tasks and not with the documents.
@@ -111,7 +114,7 @@ def _postings(width: int, percent: int, table, hot: int):
         counts, seen, forest = table.value, set(), Forest()
         ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for batch in batches:
-            tokens, sizes, nodes = [], [], []
+            tokens, sizes, nodes, early = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), width):
                 node = node_of(s)
                 if not len(s) or node in seen:
@@ -121,7 +124,8 @@ def _postings(width: int, percent: int, table, hot: int):
                 first = n - -(-percent * n // 100) + 1
                 weight = counts[_slot(s)].astype(np.uint64)
                 key = (weight << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
-                key = np.partition(key, first - 1)[:first] if first < n else key
+                key = np.sort(np.partition(key, first - 1)[:first] if first < n else key)
+                soon = np.arange(len(key)) <= n - -(-2 * percent * n // (100 + percent))
                 common = key >= np.uint64(min(hot, (1 << 23) - 1) << 40)
                 for token in key[common].tolist():
                     at = (token, int(np.log(n) / -np.log(percent / 100)) if percent < 100 else n)
@@ -130,16 +134,18 @@ def _postings(width: int, percent: int, table, hot: int):
                     ends[at] = (min(low, (n, node)), max(high, (n, node)))
                 key = key[~common]
                 tokens.append(key)
+                early.append(soon[~common])
                 sizes.append(np.full(len(key), n))
                 nodes.append(np.full(len(key), node))
             if tokens:
-                yield _posting_batch(np.concatenate(tokens).view(np.int64), np.concatenate(sizes), np.concatenate(nodes))
+                yield _posting_batch(*map(np.concatenate, (tokens, sizes, nodes, early)))
         flat = [(t, n, node) for (t, _), both in ends.items() for n, node in both]
         if flat:
-            yield _posting_batch(*(np.array(c, np.int64) for c in zip(*flat, strict=True)))
+            yield _posting_batch(*(np.array(c, np.int64) for c in zip(*flat, strict=True)), np.ones(len(flat), bool))
         tokens, nodes = ties(forest)
         if nodes:
-            yield _posting_batch(np.array(tokens, np.int64), np.ones(len(nodes), np.int64), np.array(nodes, np.int64))
+            ones = np.ones(len(nodes), np.int64)
+            yield _posting_batch(np.array(tokens, np.int64), ones, np.array(nodes, np.int64), ones > 0)
 
     return run
 
@@ -149,25 +155,32 @@ def _tie(node: int) -> int:
     return int(np.uint64(node & ((1 << 62) - 1)) | np.uint64(1 << 62))
 
 
-def _posting_batch(tokens, sizes, nodes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (tokens, sizes, nodes)], ["token", "n", "node"])
+def _posting_batch(tokens, sizes, nodes, early) -> pa.RecordBatch:
+    columns = [pa.array(c.view(np.int64), pa.int64()) for c in (tokens, sizes, nodes)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(early)], ["token", "n", "node", "early"])
 
 
 def _link_tokens(percent: int):
-    """Ties neighbours in (token, n) order whose sizes fit; sizes across a gap fit for no pair."""
+    """Ties each set to the last early one of its token, in order of size, if their sizes fit.
+
+    Of a similar pair the smaller set is early, and all early sets between the two fit as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, last = Forest(), None
+        forest, held = Forest(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n, node = (batch.column(c).to_numpy() for c in ("token", "n", "node"))
-            if last is not None:
-                token, n, node = (np.append(x, y) for x, y in zip(last, (token, n, node), strict=True))
-            fits = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (node[1:] != node[:-1])
-            for a, b in np.unique(np.stack([node[:-1][fits], node[1:][fits]]), axis=1).T.tolist():
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "n", "node", "early")]
+            if held is not None:
+                rows = [np.append(x, y) for x, y in zip(held, rows, strict=True)]
+            token, n, node, early = rows
+            last = np.maximum.accumulate(np.where(early, np.arange(len(token)), -1))
+            before = np.append(-1, last[:-1])
+            fits = (before >= 0) & (token[before] == token) & (100 * n[before] >= percent * n) & (node[before] != node)
+            for a, b in np.unique(np.stack([node[before[fits]], node[fits]]), axis=1).T.tolist():
                 forest.union(a, b)
-            last = token[-1:], n[-1:], node[-1:]
+            held = [x[last[-1] : last[-1] + 1] for x in rows] if last[-1] >= 0 else None
         ids, roots = forest.pairs()
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
@@ -268,7 +281,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _cell_links(width: int, percent: int):
-    """Links within each (cell, block): every visiting set walks the trie of the sets at home."""
+    """Links within each (cell, block, guest block): visiting sets walk the trie of those at home."""
 
     def of_cell(cell: pa.Table, forest: Forest) -> None:
         nodes, comps = cell["node"].to_pylist(), cell["comp"].to_pylist()
@@ -301,7 +314,7 @@ def _cell_links(width: int, percent: int):
                 left -= forest.union(comps[i], owner[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in runs(batches, ["cell", "block"]):
+        for cell in runs(batches, ["cell", "block", "guest"]):
             forest = Forest()
             of_cell(cell, forest)
             ids, roots = forest.pairs()
@@ -317,8 +330,8 @@ def ngram_jaccard_join(
     text_col: str = "text",
     width: int = 5,
     percent: int = 75,
-    block_sets: int = 256,
-    block_shingles: int = 1 << 21,
+    block_sets: int = 1024,
+    block_shingles: int = 1 << 20,
     leaders: int = 16,
     hot_token: int = 1 << 20,
 ) -> DataFrame:
@@ -344,7 +357,7 @@ def ngram_jaccard_join(
     light = measured.filter("piece is null").select("id", "n", "node")
     table = spark.sparkContext.broadcast(_order_table(measured.filter("piece is not null").select("piece", "counts")))
 
-    postings = narrow.mapInArrow(_postings(width, percent, table, hot_token), "token long, n long, node long")
+    postings = narrow.mapInArrow(_postings(width, percent, table, hot_token), "token long, n long, node long, early boolean")
     sorted_postings = postings.repartition("token").sortWithinPartitions("token", "n", "node")
     cells = components(sorted_postings.mapInArrow(_link_tokens(percent), "a long, b long"))
 
@@ -354,29 +367,24 @@ def ngram_jaccard_join(
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int")
     sizes = members.groupBy("cell").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("nodes"))
     spread = F.xxhash64("node")
-    members = (
-        members.join(sizes, "cell")
-        .withColumn("block", F.pmod(spread, F.col("blocks")).cast("int"))
-        .withColumn("comp", F.col("node"))
-        .checkpoint()
+    members = members.join(sizes, "cell").withColumns(
+        {"block": F.pmod(spread, F.col("blocks")).cast("int"), "comp": F.col("node")}
     )
+    home = narrow.join(members, "id").checkpoint()  # the texts of the cells, read by both rounds
 
     def linked(placed: DataFrame) -> DataFrame:
-        wanted = placed.select("id", "node", "cell", "comp", "home_block", "visits", F.explode("at").alias("block"))
-        fetched = narrow.join(wanted, "id").withColumn("home", F.expr("block = home_block"))
-        fetched = fetched.select("cell", "block", "node", "comp", "home", "visits", "text")
-        ordered = fetched.repartition("cell", "block").sortWithinPartitions("cell", "block", "node")
+        rows = placed.select("cell", F.col("there").alias("block"), "guest", "node", "comp", "home", "visits", "text")
+        ordered = rows.repartition("cell", "block", "guest").sortWithinPartitions("cell", "block", "guest", "node")
         return ordered.mapInArrow(_cell_links(width, percent), "a long, b long").checkpoint()
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(spread), F.col("nodes")) < leaders)
-    first = members.withColumns(
-        {"home_block": F.col("block"), "visits": F.lit(True), "at": F.when(leads, every).otherwise(F.array("block"))}
-    )
-    links = linked(first)
+    first = home.withColumn("there", F.explode(F.when(leads, every).otherwise(F.array("block"))))
+    yes = F.lit(True)
+    links = linked(first.withColumns({"guest": F.col("there"), "home": F.expr("there = block"), "visits": yes}))
     found = components(links)
-    if members.filter("blocks > 1").limit(1).count():
-        links = links.union(linked(_residual(members.filter("blocks > 1"), found, every)))
+    if home.filter("blocks > 1").limit(1).count():
+        links = links.union(linked(_visits(home.filter("blocks > 1"), found, every)))
         found = components(links)
 
     per_node = named.join(found, named["node"] == found["id"], "left")
@@ -387,17 +395,20 @@ def ngram_jaccard_join(
     return alone.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _residual(members: DataFrame, found: DataFrame, every) -> DataFrame:
-    """Sets outside the largest component of their cell visit all its blocks; the rest stay home."""
-    known = members.drop("comp").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
+def _visits(home: DataFrame, found: DataFrame, every) -> DataFrame:
+    """Sets outside the largest component of their cell visit all its blocks. A home block meets the
+    guests of one block at a time."""
+    known = home.drop("comp").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
     known = known.withColumn("comp", F.coalesce("root", "node")).drop("root")
     counted = known.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counted.groupBy("cell").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    known = known.join(main.filter("comps > 1"), "cell")
-    outside = F.col("comp") != F.col("main")
-    return known.withColumns(
-        {"home_block": F.col("block"), "visits": outside, "at": F.when(outside, every).otherwise(F.array("block"))}
-    )
+    known = known.join(main.filter("comps > 1"), "cell").withColumn("outside", F.col("comp") != F.col("main"))
+    senders = known.filter("outside").select("cell", F.col("block").alias("guest")).distinct()
+    hosts = known.join(senders, "cell").withColumn("there", F.col("block"))
+    hosts = hosts.withColumns({"home": F.lit(True), "visits": F.expr("outside AND guest = block")})
+    guests = known.filter("outside").withColumns({"there": F.explode(every), "guest": F.col("block")})
+    guests = guests.filter("there <> block").withColumns({"home": F.lit(False), "visits": F.lit(True)})
+    return hosts.unionByName(guests)
 
 
 def _same_id(rows: DataFrame) -> DataFrame:
@@ -405,6 +416,8 @@ def _same_id(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     rows = rows.select("id", "n", F.when(F.col("id").isNotNull(), own).alias("component")).checkpoint()
     twice = rows.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    if not twice.limit(1).count():
+        return rows
     joined = components(twice.select("b", "a"))
     return rows.join(joined, rows["component"] == joined["id"], "left").select(
         rows["id"], "n", F.coalesce("root", "component").alias("component")
