@@ -146,11 +146,13 @@ def tidy_title(c: Column | str, limit: int = 500) -> Column:
     return trim_space(shorten(collapse_space(strip_tags(drop_scripts(unescape(c)))), limit))
 
 
-def tidy_content(c: Column | str, limit: int = 50000, dotall: bool = False) -> Column:
-    """Content strips tags before entities are decoded; control characters are dropped."""
+def tidy_content(c: Column | str, limit: int | None = 50000, dotall: bool = False) -> Column:
+    """Content strips tags before entities are decoded; control characters are dropped. Without a
+    ``limit`` the whole text is kept."""
     stripped = unescape(strip_tags(drop_scripts(c, dotall)))
     printable = F.regexp_replace(stripped, r"[\p{Cc}&&[^\t\n\r]]", "")
-    return trim_space(shorten(collapse_space(printable), limit))
+    whole = collapse_space(printable)
+    return trim_space(whole if limit is None else shorten(whole, limit))
 
 
 def plain_text(c: Column | str) -> Column:
@@ -191,23 +193,25 @@ def _once(value: Column, use) -> Column:
 def first_paragraph(c: Column | str) -> Column:
     """The first paragraph that still has 31 to 500 bytes once cleaned, else a 200-byte start.
 
-    Only one paragraph is returned, so only its common entities are decoded here: Arrow
-    functions cannot run inside an array lambda. ``tidy_content`` decodes the rest later.
+    Arrow functions cannot run inside an array lambda, so tags go paragraph by paragraph, then the
+    joined paragraphs are decoded once and taken apart again. No paragraph holds the separator.
     """
     value = col(c)
+    apart = F.lit("\x1f")
     paragraphs = F.transform(F.split(value, "\n\n"), lambda p: trim_space(p))
-    cleaned = F.transform(F.filter(paragraphs, lambda p: byte_len(p) > 50), lambda p: _light_clean(p))
-    good = F.get(F.filter(cleaned, lambda p: (byte_len(p) > 30) & (byte_len(p) <= 500)), F.lit(0))
-    head = _once(
-        _light_clean(F.get(paragraphs, F.lit(0))), lambda h: F.when(h != "", shorten(h, 200))
+    bare = F.transform(paragraphs, lambda p: F.replace(strip_tags(drop_scripts(p)), apart, F.lit("")))
+    decoded = F.transform(F.split(unescape(F.array_join(bare, "\x1f")), "\x1f"), lambda p: _light_clean(p))
+    both = F.arrays_zip(paragraphs.alias("raw"), decoded.alias("clean"))
+    fits = F.filter(
+        both, lambda e: (byte_len(e["raw"]) > 50) & (byte_len(e["clean"]) > 30) & (byte_len(e["clean"]) <= 500)
     )
-    return F.coalesce(good, head, shorten(value, 200))
+    head = _once(F.get(decoded, F.lit(0)), lambda h: F.when(h != "", shorten(h, 200)))
+    return F.coalesce(F.get(fits, F.lit(0))["clean"], head, shorten(value, 200))
 
 
 def _light_clean(c: Column) -> Column:
-    """``tidy_content`` without its size limit, which no caller reaches."""
-    stripped = basic_entities(strip_tags(drop_scripts(c)))
-    return trim_space(collapse_space(F.regexp_replace(stripped, r"[\p{Cc}&&[^\t\n\r]]", "")))
+    """Decoded text without control characters and with single spaces."""
+    return trim_space(collapse_space(F.regexp_replace(c, r"[\p{Cc}&&[^\t\n\r]]", "")))
 
 
 def wrap(c: Column | str, width: int, prefix: str) -> Column:

@@ -239,7 +239,7 @@ def prepare_by_source_type(raw: DataFrame, as_of: datetime | str) -> DataFrame:
 class ConvertOptions:
     max_summary: int = 1000
     max_title: int = 500
-    max_content: int = 50000
+    max_content: int | None = 50000  # None keeps whole texts
     relevance: float = 0.0
     drop_tracking: bool = True
 

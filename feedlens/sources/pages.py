@@ -137,9 +137,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     ).where(F.col("url") != "")
 
 
-def explode_links(pages: DataFrame) -> DataFrame:
-    """The first 50 links of each page as raw articles."""
-    links = page_links(pages).where(F.col("position") < vocab.MAX_PAGE_LINKS)
+def explode_links(pages: DataFrame, limit: int | None = vocab.MAX_PAGE_LINKS) -> DataFrame:
+    """The first ``limit`` links of each page as raw articles; None takes all."""
+    links = page_links(pages)
+    if limit is not None:
+        links = links.where(F.col("position") < limit)
     text = F.col("link_text")
     return raw_article(
         links,

@@ -246,7 +246,6 @@ BASIC_ENTITIES = [
 # --- fetch log -------------------------------------------------------------------------
 
 FATAL_FETCH_ERRORS = ["validation failed", "invalid URL", "no collector found", "404", "401", "403"]
-RETRYABLE_FETCH_ERRORS = ["timeout", "connection", "network", "500", "502", "503", "504"]
 
 # --- rendering -------------------------------------------------------------------------
 

@@ -103,10 +103,10 @@ def _resolved(spark, sf_dir):
 @query(
     "link_articles",
     f"""WITH {_LINKS.strip()} SELECT page_id, position, link_text AS title, 'link,web' AS tags, 'Unknown' AS author
-        FROM links WHERE position < 50""",
+        FROM links""",
 )
 def _link_articles(spark, sf_dir):
-    return web.explode_links(b.pages(spark, sf_dir)).select(
+    return web.explode_links(b.pages(spark, sf_dir), limit=None).select(
         F.floor(F.col("ingest_seq") / 1000000).alias("page_id"), "position", "title",
         F.array_join("tags", ",").alias("tags"), "author",
     )
@@ -337,7 +337,7 @@ s AS (SELECT * REPLACE (CASE WHEN strlen(summary) > 1000 THEN {q.shorten("summar
             '' AS error FROM s WHERE strlen(title) > 20""",
 )
 def _convert(spark, sf_dir):
-    done = conform.convert_articles(b.articles(spark, sf_dir), b.AS_OF)
+    done = conform.convert_articles(b.articles(spark, sf_dir), b.AS_OF, conform.ConvertOptions(max_content=None))
     # feeds without a summary take their first paragraph, which "first_paragraph" checks
     rss = (F.col("source_type") == "rss") & (F.col("ingest_seq") % 4 == 0)
     return done.where(F.octet_length("title") > 20).select(
@@ -347,7 +347,19 @@ def _convert(spark, sf_dir):
     )
 
 
-@query("first_paragraph")
+_EDGES = r"regexp_replace(x, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g')"
+
+
+@query(
+    "first_paragraph",
+    b.views("articles", more=f"""
+parts AS (SELECT id, content, list_transform(string_split(content, chr(10) || chr(10)), lambda x: {_EDGES}) AS raw FROM articles),
+clean AS (SELECT *, list_transform(raw, lambda x: {q.page_text("x")}) AS done FROM parts),
+best AS (
+  SELECT id, content, done[1] AS head, list_filter(list_zip(raw, done), lambda e: strlen(e[1]) > 50 AND strlen(e[2]) > 30 AND strlen(e[2]) <= 500)[1][2] AS good
+  FROM clean)""")
+    + f"""SELECT id, coalesce(good, CASE WHEN head <> '' THEN {q.shorten("head", 200)} END, {q.shorten("content", 200)}) AS paragraph FROM best""",
+)
 def _paragraph(spark, sf_dir):
     return b.articles(spark, sf_dir).select("id", tx.first_paragraph("content").alias("paragraph"))
 

@@ -51,6 +51,7 @@ def test_first_paragraph(values):
         "First paragraph with meaningful content here.\n\nSecond.": "First paragraph with meaningful content here.",
         "Too short.\n\nThis is a longer paragraph with enough content to be meaningful.": "This is a longer paragraph with enough content to be meaningful.",
         "": "",
+        "<p>Fish &amp;amp; chips, &eacute;clairs and &lt;tea&gt; for everyone at home</p>\n\nNext.": "Fish &amp; chips, éclairs and <tea> for everyone at home",
     }
     assert values(tx.first_paragraph, list(cases)) == list(cases.values())
 
