@@ -46,6 +46,7 @@ class Encoder:
         self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
         self.pairs = pairs
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _ranked(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Leaf values of pairs; -1 stands for a missing neighbour."""
@@ -156,10 +157,15 @@ class Encoder:
         return tuple(i for i, kept in zip(ids, alive, strict=True) if kept)
 
     def learn(self, pieces: set[str]) -> None:
-        """Adds the ids of unseen pieces to the cache, which holds a bounded number."""
-        if len(self.known) + len(pieces) > 200_000:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+        """Adds the ids of unseen pieces to the cache. It holds two generations of a bounded number:
+        a full one becomes the old one, from which pieces in use come back."""
+        if len(self.known) > 300_000:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = [p for p in pieces if p not in known]
+        if old:
+            known.update((p, old[p]) for p in new if p in old)
+            new = [p for p in new if p not in known]
         coded = [p.encode("utf-8", "surrogatepass") for p in new]
         short = []
         for p, b in zip(new, coded, strict=True):
