@@ -20,4 +20,5 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         part = import_module(f"feedlens.llm.{module}")
         queries |= part.QUERIES
         oracles |= part.ORACLES
-    return queries, oracles
+    number = lambda name: int(name[2:].split("_")[0])
+    return {name: queries[name] for name in sorted(queries, key=number)}, oracles
