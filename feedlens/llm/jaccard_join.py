@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.arrays import Forest, mix, runs, shingle_sets
+from feedlens.llm.batches import small_batches
 from feedlens.llm.components import components
 from feedlens.session import ensure_checkpoint_dir
 
@@ -44,17 +45,11 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
 
 def _counted(column, width: int, counts: np.ndarray) -> tuple[list[int], list[int]]:
     """Set sizes and nodes of a text column; adds its shingles to the slot counts."""
-    n, nodes, pending, waiting = [], [], [], 0
+    n, nodes = [], []
     for _, s in shingle_sets(column, width):
         n.append(len(s))
         nodes.append(node_of(s))
-        pending.append(_slot(s))
-        waiting += len(s)
-        if waiting > 1 << 20:
-            counts += np.bincount(np.concatenate(pending), minlength=_SLOTS).astype(np.uint32)
-            pending, waiting = [], 0
-    if pending:
-        counts += np.bincount(np.concatenate(pending), minlength=_SLOTS).astype(np.uint32)
+        np.add.at(counts, _slot(s), np.uint32(1))
     return n, nodes
 
 
@@ -113,8 +108,9 @@ def _postings(width: int, percent: int, table, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, forest = table.value, set(), Forest()
         ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        kept: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for batch in batches:
-            tokens, sizes, nodes, early = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), width):
                 node = node_of(s)
                 if not len(s) or node in seen:
@@ -133,12 +129,13 @@ def _postings(width: int, percent: int, table, hot: int):
                     forest.union(node, low[1])
                     ends[at] = (min(low, (n, node)), max(high, (n, node)))
                 key = key[~common]
-                tokens.append(key)
-                early.append(soon[~common])
-                sizes.append(np.full(len(key), n))
-                nodes.append(np.full(len(key), node))
-            if tokens:
-                yield _posting_batch(*map(np.concatenate, (tokens, sizes, nodes, early)))
+                kept.append((key, np.full(len(key), n), np.full(len(key), node), soon[~common]))
+                waiting += len(key)
+                if waiting > 1 << 17:
+                    yield _posting_batch(*map(np.concatenate, zip(*kept, strict=True)))
+                    kept, waiting = [], 0
+        if kept:
+            yield _posting_batch(*map(np.concatenate, zip(*kept, strict=True)))
         flat = [(t, n, node) for (t, _), both in ends.items() for n, node in both]
         if flat:
             yield _posting_batch(*(np.array(c, np.int64) for c in zip(*flat, strict=True)), np.ones(len(flat), bool))
@@ -352,7 +349,7 @@ def ngram_jaccard_join(
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     measured = narrow.mapInArrow(_measure(width), "id long, n long, node long, piece int, counts binary").checkpoint()
     light = measured.filter("piece is null").select("id", "n", "node")
     table = spark.sparkContext.broadcast(_order_table(measured.filter("piece is not null").select("piece", "counts")))
