@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.batches import small_batches
+
 _NONE = np.int64(1) << np.int64(62)
 _SHORT = 64
 
@@ -45,8 +47,8 @@ class Encoder:
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
         self.pairs = pairs
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, which take little room
+        self.old: dict[str, bytes] = {}
 
     def _ranked(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Leaf values of pairs; -1 stands for a missing neighbour."""
@@ -55,9 +57,9 @@ class Encoder:
         found = (left >= 0) & (right >= 0) & (self.pair_keys[at] == key)
         return np.where(found, (self.pair_ranks[at] << np.int64(32)) | position, _NONE)
 
-    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces of 2 to 64 bytes, all rows merged in step."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        out = [b""] * len(pieces)
         sizes = np.array([len(p) for p in pieces])
         width = 2
         while width <= _SHORT:
@@ -69,7 +71,7 @@ class Encoder:
             width *= 2
         return out
 
-    def _merge_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         m = len(pieces)
         size = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
@@ -110,9 +112,11 @@ class Encoder:
                 put(r, p - 1, self._ranked(ids[r, p], rank[some], p - 1))
             rows = rows[tree[rows, 1] < _NONE]
         flat = ids[:, 1:-1]
-        return [tuple(row[row >= 0].tolist()) for row in flat]
+        coded = flat[flat >= 0].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum((flat >= 0).sum(axis=1))).tolist()
+        return [coded[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def merge_long(self, piece: bytes) -> bytes:
         """Ids of one piece of any length."""
         n, pairs = len(piece), self.pairs
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
@@ -154,12 +158,12 @@ class Encoder:
                 put(at, none)
             if (left := before[at]) >= 0:
                 put(left, value(left, at))
-        return tuple(i for i, kept in zip(ids, alive, strict=True) if kept)
+        return np.array([i for i, kept in zip(ids, alive, strict=True) if kept], np.int32).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Adds the ids of unseen pieces to the cache. It holds two generations of a bounded number:
         a full one becomes the old one, from which pieces in use come back."""
-        if len(self.known) > 300_000:
+        if len(self.known) > 200_000:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         new = [p for p in pieces if p not in known]
@@ -170,7 +174,7 @@ class Encoder:
         short = []
         for p, b in zip(new, coded, strict=True):
             if (rank := self.ranks.get(b)) is not None:
-                self.known[p] = (rank,)
+                self.known[p] = np.int32(rank).tobytes()
             elif len(b) <= _SHORT:
                 short.append((p, b))
             else:
@@ -178,16 +182,16 @@ class Encoder:
         merged = self.merge_many([b for _, b in short])
         self.known.update(zip((p for p, _ in short), merged, strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as 32-bit numbers."""
         split = [self.pattern.findall(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
         known = self.known
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in split]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids."""
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
 def _by_size(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -218,12 +222,12 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
             for a, b in _by_size(texts):
                 ids = encoder.encode(texts[a:b])
                 at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(at[-1]))
+                flat = np.concatenate(ids)
                 decoded = [encoder.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(a, b - a), pa.ListArray.from_arrays(at, flat), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     coded = rows.mapInArrow(run, "id long, ids array<int>, decoded binary")
     return coded.withColumnRenamed("id", "doc_id")
