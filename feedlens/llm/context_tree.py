@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.arrays import LOWER, runs, slices, span_hashes, utf8, word_bounds
+from feedlens.llm.batches import small_batches
 from feedlens.session import ensure_checkpoint_dir
 
 _END = 10
@@ -326,7 +327,7 @@ def context_tree_scores(
         raise ValueError("depth must be at least 2")
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),

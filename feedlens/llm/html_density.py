@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.batches import small_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|template|noscript|title|textarea|iframe|svg|math|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -197,7 +199,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     characters. Unclosed tags end with the elements around them. Repeated rows and null ids keep
     their rows, an empty table gives none; other columns are ignored.
     """
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
     texts = rows.mapInArrow(_extract, "page_id long, url string, text string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.arrays import IS_SPACE, slices, span_hashes, utf8, word_bounds
+from feedlens.llm.batches import small_batches
 
 #: One per statistic, in the order of ``statistics``.
 NAMES = (
@@ -158,7 +159,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x): the statistics of each row; ``x`` is all zeros for a null or blank text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_measure, "id long, x array<double>")
 
 
@@ -206,7 +207,7 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", leas
         for batch in batches:
             yield batch.filter(pa.array(held.value.scores(statistics(batch.column(text_col))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
