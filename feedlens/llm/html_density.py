@@ -2,8 +2,10 @@
 
 Every element gets a density: its characters per tag, adjusted by how many of them stand in links.
 An element's sum is the density of its child elements together. The subtree with the largest
-sum is the article; beside it stay those neighbours along its path to the body whose density
-reaches the least density of that path. Page furniture is taken out before.
+sum leads to the article: the outermost article or main around it stays whole. Beside that stay
+other articles, and neighbours along the path to the body whose density reaches the least density
+of that path, furniture included. Without such an element everything along the path stays.
+Neighbours that are mostly links go. Page furniture is taken out before.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub "
     "sup time tt u var wbr".split()
 )
+#: Elements that hold a whole article.
+_WHOLE = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head nav footer aside form dialog menu input".split())
 #: Starting one of these ends an open element of the set beside it.
@@ -97,7 +101,7 @@ class _Page:
             me = len(self.tag)
             up = open_[-1]
             self.tag.append(name), self.parent.append(up), self.tags.append(1), self.link_tags.append(0)
-            inside = any(self.tag[k] in ("article", "main") for k in open_)
+            inside = any(self.tag[k] in _WHOLE for k in open_)
             self.dropped.append(
                 self.dropped[up] or name in _DROPPED or (name == "header" and not inside) or _is_furniture(name, rest)
             )
@@ -126,6 +130,26 @@ def _density(chars: float, tags: float, link_chars: float, link_tags: float, bod
     return chars / tags * max(0.0, math.log(max(1.0, ratio))) / max(1.0, math.log(max(base, 1.0)))
 
 
+def _least_density(page: _Page, texts: list[tuple[int, str, bool]], path: list[int]) -> float:
+    """The least density of the path's elements, counted with the furniture of the body."""
+    n = len(page.tag)
+    chars, link_chars = [0.0] * n, [0.0] * n
+    tags, link_tags = [float(t) for t in page.tags], [float(t) for t in page.link_tags]
+    for e, t, link in texts:
+        if link is not None and (size := len(t) - t.count(" ")):
+            chars[e] += size
+            link_chars[e] += size * link
+    for e in range(n - 1, 0, -1):
+        if page.tag[e] != "head":
+            up = page.parent[e]
+            chars[up] += chars[e]
+            link_chars[up] += link_chars[e]
+            tags[up] += tags[e]
+            link_tags[up] += link_tags[e]
+    share = link_chars[0] / chars[0]
+    return min(_density(chars[e], max(1.0, tags[e]), link_chars[e], link_tags[e], share) for e in path)
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, one per line; empty without text."""
     page = _Page(source or "")
@@ -160,17 +184,24 @@ def main_text(source: str | None) -> str:
     while e >= 0:
         path.append(e)
         e = page.parent[e]
-    least = min(density[e] for e in path)
-    on_path = set(path)
+    tops = [k for k, e in enumerate(path) if page.tag[e] in _WHOLE]
+    least = 0.0
+    if tops:  # what stands around it must be as dense as the page with its furniture
+        path = path[tops[-1] :]
+        least = _least_density(page, texts, path)
+    top, on_path = path[0], set(path)
+    holds = [tag in _WHOLE for tag in page.tag]
+    for e in range(n - 1, 0, -1):
+        holds[page.parent[e]] |= holds[e] and not page.dropped[e]
     kept = [False] * n
-    kept[best] = True
+    kept[top] = True
     for e in range(1, n):
         up = page.parent[e]
         if page.dropped[e]:
             continue
-        beside = up in on_path and up != best and e not in on_path
-        kept[e] = kept[e] or kept[up] or (beside and density[e] >= least and link_chars[e] * 2 < chars[e])
-    own = {e for e in path if e != best}  # loose text of the elements above counts by their density
+        beside = up in on_path and up != top and e not in on_path
+        kept[e] = kept[e] or kept[up] or (beside and (holds[e] or density[e] >= least) and link_chars[e] * 2 < chars[e])
+    own = {e for e in path if e != top}  # loose text of the elements above counts by their density
 
     blocks, current = [], []
     for e, t, link in texts:

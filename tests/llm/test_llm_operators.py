@@ -253,6 +253,40 @@ def test_html_articles(spark):
         assert main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+def paragraphs(n: int, size: int, mark: str) -> list[str]:
+    return [f"{mark}{i} ".ljust(size, "x") for i in range(n)]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<body><main>{}</main></body>", "<div>{}</div>", "{}"])
+def test_html_keeps_short_parts(around):
+    """Headings and short blocks stay beside a wrapped body, a longer section, a long list and a long table."""
+    nav = "<nav><a href=x>home</a> <a href=y>more of it</a></nav>"
+    long, short = paragraphs(5, 300, "a"), paragraphs(6, 90, "b")
+    items, cells = [f"item {i}" for i in range(90)], [f"cell {i}" for i in range(200)]
+
+    def ps(texts: list[str]) -> str:
+        return "".join(f"<p>{t}</p>" for t in texts)
+
+    h1, title = "<h1>The title of twenty-eight let</h1>", ["The title of twenty-eight let"]
+    rows = "".join(f"<tr><td>{c}</td></tr>" for c in cells)
+    for inner, want in [
+        (f"{h1}<div class=body>{ps(long)}</div>", title + long),
+        (f"{h1}<section>{ps(long)}</section><section><h2>Next</h2>{ps(short)}</section>", [*title, *long, "Next", *short]),
+        (f"{h1}{ps(short)}<ul>{''.join(f'<li>{i}' for i in items)}</ul>{ps(long)}", title + short + items + long),
+        (f"{h1}{ps(short)}<table>{rows}</table>{ps(long)}", title + short + cells + long),
+    ]:
+        for page in (around.format(inner), nav + around.format(inner) + "<footer>end</footer>"):
+            assert main_text(page).split("\n") == want
+
+
+def test_html_two_articles():
+    long, short = paragraphs(5, 300, "a"), paragraphs(2, 60, "b")
+    page = "<div>{}</div><div><a href=x>one link</a></div><div>{}</div>".format(
+        *("<article>" + "".join(f"<p>{t}</p>" for t in ts) + "</article>" for ts in (long, short))
+    )
+    assert main_text(page).split("\n") == long + short
+
+
 @pytest.fixture(scope="module")
 def ranks():
     tokenizers = pytest.importorskip("public_tokenizers")
