@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Every element gets a density: its characters per tag, adjusted by how many of them stand in links.
-An element's sum is the density of its child elements together. The subtree with the largest
+An element's sum is the density of its child elements together; the text that stands directly
+in it counts as one more child. The subtree with the largest
 sum leads to the article: the outermost article or main around it stays whole. Beside that stay
 other articles, and neighbours along the path to the body whose density reaches the least density
 of that path, furniture included. Without such an element everything along the path stays.
@@ -136,7 +137,7 @@ def _least_density(page: _Page, texts: list[tuple[int, str, bool]], path: list[i
     chars, link_chars = [0.0] * n, [0.0] * n
     tags, link_tags = [float(t) for t in page.tags], [float(t) for t in page.link_tags]
     for e, t, link in texts:
-        if link is not None and (size := len(t) - t.count(" ")):
+        if link is not None and not t.isspace() and (size := len(t) - t.count(" ")):
             chars[e] += size
             link_chars[e] += size * link
     for e in range(n - 1, 0, -1):
@@ -158,9 +159,10 @@ def main_text(source: str | None) -> str:
     tags, link_tags = [float(t) for t in page.tags], [float(t) for t in page.link_tags]
     texts = [(e, html.unescape(t) if link is not None and "&" in t else t, link) for e, t, link in page.texts]
     for e, t, link in texts:
-        if link is not None and not page.dropped[e] and (size := len(t) - t.count(" ")):
+        if link is not None and not page.dropped[e] and not t.isspace() and (size := len(t) - t.count(" ")):
             chars[e] += size
             link_chars[e] += size * link
+    loose_chars, loose_links = chars.copy(), link_chars.copy()
     for e in range(n - 1, 0, -1):  # children come after their parents
         if not page.dropped[e]:
             up = page.parent[e]
@@ -177,7 +179,11 @@ def main_text(source: str | None) -> str:
         if not page.dropped[e]:
             total[page.parent[e]] += density[e]
             parents[page.parent[e]] = True
-    total = [t if parents[e] else density[e] for e, t in enumerate(total)]
+    loose = [
+        _density(loose_chars[e], max(1.0, page.tags[e]), loose_links[e], page.link_tags[e], share) if parents[e] else density[e]
+        for e in range(n)
+    ]
+    total = [t + d for t, d in zip(total, loose, strict=True)]
     best = max(range(n), key=lambda e: (total[e], -e))
 
     path, e = [], best
@@ -193,7 +199,7 @@ def main_text(source: str | None) -> str:
     holds = [tag in _WHOLE for tag in page.tag]
     for e in range(n - 1, 0, -1):
         holds[page.parent[e]] |= holds[e] and not page.dropped[e]
-    kept = [False] * n
+    kept, own_kept = [False] * n, [False] * n
     kept[top] = True
     for e in range(1, n):
         up = page.parent[e]
@@ -201,7 +207,8 @@ def main_text(source: str | None) -> str:
             continue
         beside = up in on_path and up != top and e not in on_path
         kept[e] = kept[e] or kept[up] or (beside and (holds[e] or density[e] >= least) and link_chars[e] * 2 < chars[e])
-    own = {e for e in path if e != top}  # loose text of the elements above counts by their density
+    for e in path[1:]:
+        own_kept[e] = loose[e] >= least and loose_links[e] * 2 < loose_chars[e]
 
     blocks, current = [], []
     for e, t, link in texts:
@@ -209,7 +216,7 @@ def main_text(source: str | None) -> str:
             if current:
                 blocks.append("".join(current))
                 current = []
-        elif kept[e] or (e in own and not parents[e]):
+        elif kept[e] or own_kept[e]:
             current.append(t)
     if current:
         blocks.append("".join(current))

@@ -279,6 +279,16 @@ def test_html_keeps_short_parts(around):
             assert main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "<div><div>{}</div></div>", "{}"])
+def test_html_loose_text(around):
+    """Lines parted by br stay beside a block element, in front of it and after it."""
+    lines = paragraphs(30, 100, "line")
+    quote = "quoted ".ljust(200, "q")
+    page = "<br>".join(lines[:20]) + f"<blockquote><p>{quote}</p></blockquote>" + "<br>\n".join(lines[20:])
+    want = [" ".join(lines[:20]), quote, " ".join(lines[20:])]
+    assert main_text("<nav><a href=x>home</a></nav>" + around.format(page)).split("\n") == want
+
+
 def test_html_two_articles():
     long, short = paragraphs(5, 300, "a"), paragraphs(2, 60, "b")
     page = "<div>{}</div><div><a href=x>one link</a></div><div>{}</div>".format(
