@@ -6,7 +6,8 @@ in it counts as one more child. The subtree with the largest
 sum leads to the article: the outermost article or main around it stays whole. Beside that stay
 other articles, and neighbours along the path to the body whose density reaches the least density
 of that path, furniture included. Without such an element everything along the path stays.
-Neighbours that are mostly links go. Page furniture is taken out before.
+Neighbours that are mostly links go. Page furniture is taken out before, by element or by the words
+of a class, id or role; the words never take out an element that holds the page's main or article.
 """
 
 from __future__ import annotations
@@ -43,10 +44,13 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("article aside body div footer form header main nav section table ul ol dl td th html".split())
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-list|consent|cookies?|disqus|footer|masthead|"
-    r"menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|"
-    r"toolbar|widget)(?:$|[\s_-])",
+    r"menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|"
+    r"social(?=$|\s|[_-](?:bar|block|box|buttons?|follow|icons?|links?|list|media|menu|nav|networks?|share|sharing|widget))|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: From such a word on, the name tells what stands beside the element or is missing.
+_MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*", re.I)
+_READERS = re.compile(r"comment|disqus", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -56,7 +60,7 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.tags, self.link_tags = ["body"], [-1], [0], [0]
-        self.dropped = [False]
+        self.dropped, self.marked = [False], [0]  # marked: by class, 2 for readers' comments
         self.texts: list[tuple[int, str, bool]] = []  # element, text, inside a link
         self.breaks: list[int] = [0]  # element of each block change
         open_, links, at = [0], 0, 0
@@ -103,9 +107,8 @@ class _Page:
             up = open_[-1]
             self.tag.append(name), self.parent.append(up), self.tags.append(1), self.link_tags.append(0)
             inside = any(self.tag[k] in _WHOLE for k in open_)
-            self.dropped.append(
-                self.dropped[up] or name in _DROPPED or (name == "header" and not inside) or _is_furniture(name, rest)
-            )
+            self.dropped.append(self.dropped[up] or name in _DROPPED or (name == "header" and not inside))
+            self.marked.append(_is_furniture(name, rest))
             self._cut(me)
             if name not in _VOID and not rest.endswith("/"):
                 open_.append(me)
@@ -116,10 +119,48 @@ class _Page:
         self.texts.append((element, "\n", None))
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in ("article", "main", "body"):
-        return False
-    return any(_FURNITURE.search(a or b or c or "") for a, b, c in _ATTRIBUTE.findall(attributes)) if attributes else False
+def _is_furniture(name: str, attributes: str) -> int:
+    """1 if the class, id or role names page furniture, 2 if readers' comments, else 0."""
+    if not attributes or name in _WHOLE:
+        return 0
+    for a, b, c in _ATTRIBUTE.findall(attributes):
+        if found := _FURNITURE.search(_MODIFIER.sub(" ", a or b or c or "")):
+            return 2 if _READERS.search(found[0]) else 1
+    return 0
+
+
+def _drop_marked(page: _Page, texts: list[tuple[int, str, bool]]) -> None:
+    """Drops the marked elements with all inside, but none around the article.
+
+    A mark gives way around the largest main (without one, the largest article), on pages without
+    either if it holds most of the text. It does so around any main or article of half the largest
+    one's text too, but for comments, since each is often an article.
+    """
+    n = len(page.tag)
+    chars, stands = [0] * n, page.marked.copy()
+    for e, t, link in texts:
+        if link is not None and not page.dropped[e] and not t.isspace():
+            chars[e] += len(t) - t.count(" ")
+    for e in range(n - 1, 0, -1):
+        chars[page.parent[e]] += chars[e]
+    whole = [e for e in range(n) if page.tag[e] in _WHOLE and chars[e]]
+    largest = {tag: max((e for e in whole if page.tag[e] == tag), key=chars.__getitem__, default=-1) for tag in _WHOLE}
+    first = largest["main"] if largest["main"] >= 0 else largest["article"]
+    up = first
+    while up > 0:
+        stands[up], up = 0, page.parent[up]
+    seen = {0}
+    for e in whole:
+        if chars[e] * 2 >= chars[largest[page.tag[e]]]:
+            while e not in seen:
+                seen.add(e)
+                if stands[e] == 1:
+                    stands[e] = 0
+                e = page.parent[e]
+    for e in range(1, n):
+        if first < 0 and chars[e] * 2 > chars[0]:
+            stands[e] = 0
+        page.dropped[e] = page.dropped[e] or stands[e] > 0 or page.dropped[page.parent[e]]
 
 
 def _density(chars: float, tags: float, link_chars: float, link_tags: float, body_share: float) -> float:
@@ -158,6 +199,8 @@ def main_text(source: str | None) -> str:
     chars, link_chars = [0.0] * n, [0.0] * n
     tags, link_tags = [float(t) for t in page.tags], [float(t) for t in page.link_tags]
     texts = [(e, html.unescape(t) if link is not None and "&" in t else t, link) for e, t, link in page.texts]
+    if any(page.marked):
+        _drop_marked(page, texts)
     for e, t, link in texts:
         if link is not None and not page.dropped[e] and not t.isspace() and (size := len(t) - t.count(" ")):
             chars[e] += size

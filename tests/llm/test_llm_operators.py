@@ -289,6 +289,27 @@ def test_html_loose_text(around):
     assert main_text("<nav><a href=x>home</a></nav>" + around.format(page)).split("\n") == want
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content-with-sidebar", "social-science", "page sidebar", "comments"])
+def test_html_marked_wrapper(name, tag):
+    """A wrapper named like furniture keeps the page's text; furniture beside and inside still goes."""
+    texts = paragraphs(5, 300, "a")
+    inner = f"<{tag}>{''.join(f'<p>{t}</p>' for t in texts)}<div class=share>share it</div></{tag}>"
+    page = f"<nav>home</nav><div class='{name}'><div id=sidebar>aside of it</div>{inner}</div><div class=ads>buy</div>"
+    assert main_text(page).split("\n") == texts
+
+
+def test_html_marked_parts():
+    """Part of an article, comments that outgrow it and teasers."""
+    texts, more = paragraphs(5, 300, "a"), paragraphs(3, 200, "b")
+    section = f"<section class='social-science no-ads'>{''.join(f'<p>{t}</p>' for t in more)}</section>"
+    article = f"<article>{''.join(f'<p>{t}</p>' for t in texts)}{section}</article>"
+    comments = "<div class=comments-area>" + f"<article><p>{'c' * 400}</p></article>" * 20 + "</div>"
+    related = "<div class='related-posts'>" + f"<article><p>{'r' * 80}</p></article>" * 3 + "</div>"
+    social = "<div class=social-links><p>follow</p></div><div class='social'><p>us</p></div>"
+    assert main_text(article + comments + related + social).split("\n") == texts + more
+
+
 def test_html_two_articles():
     long, short = paragraphs(5, 300, "a"), paragraphs(2, 60, "b")
     page = "<div>{}</div><div><a href=x>one link</a></div><div>{}</div>".format(
