@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from feedlens.llm.arrays import runs
 from feedlens.llm.vectors import cosines, matrix, prepared, scaled
 
-_SLACK = 1e-9
+_PAIRS = 1 << 15  # exact cosines at a time
 
 
 class VantageTree:
     """A node splits its points at the median distance from a vantage point; leaves hold all points."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64, seed: int = 7) -> None:
-        self.points = points
+    def __init__(self, x: np.ndarray, leaf: int = 64, seed: int = 7) -> None:
+        self.x, self.points = x, scaled(x)
+        self.error = 4 * (x.shape[1] + 8) * 2.0**-52  # of a dot product of unit rows
+        self.slack = 4 * np.sqrt(self.error)  # of differences of distances, whose error is largest near 0
         self.leaf, self.rng = leaf, np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+        self.root = self._build(np.arange(len(x)))
 
     def _build(self, members: np.ndarray):
         if len(members) <= self.leaf:
@@ -37,28 +39,51 @@ class VantageTree:
             return vantage, float(d[inner].max()), float(d[~inner].min()), self._build(parts[0]), self._build(parts[1])
         return vantage, middle, float(d[~inner].min()), self._build(members[inner]), self._build(members[~inner])
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, factor: float):
+    def search(self, x: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, factor: float):
         """Row numbers and cosines of the ``k`` nearest points of other ids, -1 where there are fewer.
 
-        A side is left out when the triangle inequality puts it farther than the k-th best
-        distance divided by ``factor``; with 1 nothing nearer can be lost.
+        They are ranked by exact cosine, then id, with one point per id. A side is left out when
+        the triangle inequality puts it farther than the k-th best distance divided by ``factor``;
+        with 1 nothing nearer can be lost.
         """
-        n = len(queries)
-        best = np.full((n, k), np.inf)
+        n, queries = len(x), scaled(x)
+        best = np.full((n, k), -np.inf)
         rows = np.full((n, k), -1)
-        rank = np.append(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), len(ids))
+        distinct, rank = np.unique(ids, return_inverse=True)
+        once = len(distinct) == len(ids)
+        rank = np.append(rank, len(ids))
+
+        def exact(q: np.ndarray, p: np.ndarray, near: np.ndarray) -> np.ndarray:
+            out = np.empty(len(q))
+            for at in range(0, len(q), _PAIRS):
+                part = slice(at, at + _PAIRS)
+                with np.errstate(all="ignore"):
+                    score = cosines(x[q[part]], self.x[p[part]])
+                out[part] = np.where(np.isfinite(score), score, near[part])
+            return out
 
         def leaf(members: np.ndarray, q: np.ndarray) -> None:
-            d = np.round(_distances(queries[q], self.points[members]), 12)
-            d[query_ids[q][:, None] == ids[members][None, :]] = np.inf
-            use = (d <= best[q, -1:]).any(axis=1)
-            q, d = q[use], d[use]
+            dot = queries[q] @ self.points[members].T
+            dot[query_ids[q][:, None] == ids[members][None, :]] = -np.inf
+            least = best[q, -1]
+            if once and len(members) > k:
+                least = np.maximum(least, np.partition(dot, -k, axis=1)[:, -k])
+            may = (dot >= least[:, None] - 2 * self.error) & (dot > -np.inf)
+            use = may.any(axis=1)
+            q, dot, may = q[use], dot[use], may[use]
             if not len(q):
                 return
-            all_d = np.concatenate([best[q], d], axis=1)
-            all_r = np.concatenate([rows[q], np.broadcast_to(members, (len(q), len(members)))], axis=1)
-            order = np.lexsort((rank[all_r], all_d), axis=-1)[:, :k]
-            best[q] = np.take_along_axis(all_d, order, 1)
+            i, j = np.nonzero(may)
+            score = np.full(dot.shape, -np.inf)
+            score[i, j] = exact(q[i], members[j], dot[i, j])
+            all_s = np.concatenate([best[q], score], axis=1)
+            all_r = np.concatenate([rows[q], np.broadcast_to(members, score.shape)], axis=1)
+            if not once:  # of one id only its best point
+                order = np.lexsort((-all_s, rank[all_r]), axis=-1)
+                all_s, all_r = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_r, order, 1)
+                all_s[:, 1:][rank[all_r[:, 1:]] == rank[all_r[:, :-1]]] = -np.inf
+            order = np.lexsort((rank[all_r], -all_s), axis=-1)[:, :k]
+            best[q] = np.take_along_axis(all_s, order, 1)
             rows[q] = np.where(np.isinf(best[q]), -1, np.take_along_axis(all_r, order, 1))
 
         def visit(node, q: np.ndarray) -> None:
@@ -72,7 +97,7 @@ class VantageTree:
             near = d <= (inside + outside) / 2
             visit(inner, q[near])
             visit(outer, q[~near])
-            reach = best[q, -1] / factor + _SLACK
+            reach = np.sqrt(np.maximum(0, 2 - 2 * best[q, -1])) / factor + self.slack
             visit(outer, q[near & (outside - d <= reach)])
             visit(inner, q[~near & (d - inside <= reach)])
 
@@ -89,15 +114,12 @@ def _search(k: int, factor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["dim", "shard", "block"]):
             asks, x, ids = t["asks"].to_numpy(zero_copy_only=False), matrix(t["v"]), t["id"].to_numpy()
-            unit = scaled(x)
             have, want = np.flatnonzero(~asks), np.flatnonzero(asks)
             if not len(have) or not len(want):
                 continue
-            tree = VantageTree(unit[have])
-            rows, _ = tree.search(unit[want], ids[want], ids[have], k, factor)
+            rows, scores = VantageTree(x[have]).search(x[want], ids[want], ids[have], k, factor)
             q, j = np.nonzero(rows >= 0)
-            found = have[rows[q, j]]
-            score = cosines(x[want][q], x[found])
+            found, score = have[rows[q, j]], scores[q, j]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[want][q], pa.int64()), pa.array(ids[found], pa.int64()), pa.array(score)],
                 ["query_id", "vec_id", "score"],
@@ -119,7 +141,8 @@ def nearest_neighbours(
     """(query_id, rank, vec_id, score): the ``k`` rows of largest cosine for each query row.
 
     ``is_query`` is a condition on the table's columns. All rows are indexed, each in one shard of
-    about ``shard_rows``; blocks of ``query_rows`` queries visit every shard. ``factor`` >= 1
+    about ``shard_rows``; blocks of ``query_rows`` queries visit every shard. Of equal vectors the k + 1 smallest ids are indexed, which
+    is all that can be among the k nearest. ``factor`` >= 1
     relaxes the pruning: 1 is exact, larger values search less. Ties go to the smaller id. Vectors
     that are null, all zero or hold a null or non-finite component take no part, nor do rows
     without an id; vectors of different lengths are not compared. A row is no neighbour of its
@@ -130,6 +153,8 @@ def nearest_neighbours(
         raise ValueError("factor must be at least 1")
     asked = prepared(df.filter(is_query), id_col, vector_col).distinct()
     rows = prepared(df, id_col, vector_col).distinct()
+    copies = Window.partitionBy("v").orderBy("id")  # equal vectors tie: k others of the smallest ids are enough
+    rows = rows.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
     n, most = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-most // query_rows))
     place = F.xxhash64("id", "v")
@@ -143,7 +168,7 @@ def nearest_neighbours(
     )
     keys = ["dim", "shard", "block"]
     dealt = index.union(asks).repartition(*keys).sortWithinPartitions(*keys, "asks", "id")
-    found = dealt.mapInArrow(_search(2 * k, factor), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select(

@@ -229,6 +229,36 @@ def test_vantage_points(spark, cloud, factor, least):
     assert nearest_neighbours(cloud.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vantage_points_copies(spark):
+    """Thousands of copies and scaled copies of a vector: ties go to the smaller ids."""
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=64).astype(np.float32)
+    ids = rng.permutation(6000).tolist()
+    rows = []
+    for i in ids:
+        v = group if i % 3 == 0 else group * np.float32(rng.uniform(0.2, 3)) if i % 3 == 1 else rng.normal(size=64)
+        rows.append((i, np.float32(v).tolist(), 0, 1, 2, 3, 4))
+    rows += [(i, np.float32(group + 0.01 * rng.normal(size=64)).tolist(), 0, 1, 2, 3, 4) for i in (3, 3, 50, 50)]
+    id_of, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+
+    def added(a, b):
+        return np.add.accumulate(a * b, axis=-1)[..., -1]
+
+    got = {}
+    found = nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0, shard_rows=2000)
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    norm = np.sqrt(added(x, x))
+    want = {}
+    for q in np.flatnonzero(id_of % 50 == 0):
+        score = added(x[q][None], x) / (norm[q] * norm)
+        for j in np.lexsort((id_of, -score))[:30].tolist():
+            if id_of[j] != id_of[q]:
+                one = want.setdefault(int(id_of[q]), {})
+                one[int(id_of[j])] = max(one.get(int(id_of[j]), -2), float(score[j]))
+    assert got == {q: sorted(s.items(), key=lambda t: (-t[1], t[0]))[:5] for q, s in want.items()}
+
+
 def test_html(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><a href=x>home</a></nav>"
