@@ -412,10 +412,11 @@ def _same_id(rows: DataFrame) -> DataFrame:
     """Rows without shingles stay alone; rows that share an id share the component."""
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     rows = rows.select("id", "n", F.when(F.col("id").isNotNull(), own).alias("component")).checkpoint()
-    twice = rows.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-    if not twice.limit(1).count():
+    least = rows.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    if not least.limit(1).count():
         return rows
-    joined = components(twice.select("b", "a"))
+    ties = rows.select("id", "component").distinct().join(least.select("id", "a"), "id")
+    joined = components(ties.filter("component <> a").select("component", "a"))
     return rows.join(joined, rows["component"] == joined["id"], "left").select(
         rows["id"], "n", F.coalesce("root", "component").alias("component")
     )

@@ -83,6 +83,17 @@ def test_jaccard_brute_force(spark, options):
     assert got == brute_groups(rows, options.get("percent", 75))
 
 
+def test_jaccard_shared_ids(spark):
+    """An id with several texts ties all their components, also through other ids."""
+    text = {k: " ".join(f"{k}{i}" for i in range(9)) for k in "abcdefgh"}
+    rows = [(10, "a"), (11, "b"), (12, "c"), (13, "d"), (14, "e"), (20, "g"), (21, "h"), (15, "f")]
+    rows += [(30, k) for k in "abcd"] + [(31, k) for k in "dec"] + [(31, "")]
+    docs = spark.createDataFrame([(i, text.get(k, "")) for i, k in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_jaccard_join(docs).collect()}
+    one = {(i, 5): 10 for i in (10, 11, 12, 13, 14, 30, 31)}
+    assert got == one | {(31, 0): 10, (20, 5): 20, (21, 5): 21, (15, 5): 15}
+
+
 def test_jaccard_hard_rows(spark, hard):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(hard).collect()), key=str)
     by_id = {g[0]: g for g in got}
