@@ -18,11 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.arrays import LOWER, slices, utf8
+from feedlens.llm.arrays import IS_SPACE, LOWER, slices, utf8
 from feedlens.llm.batches import small_batches
 
 _GRAM = 6
 _N = 5  # features of a text
+_LONGEST = 32  # bytes of a dictionary word
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -70,7 +71,7 @@ def _telling_grams(toxic: list[np.ndarray], ordinary: list[np.ndarray], hits: in
     return keys[np.sort(chosen)] if chosen else keys[:0]
 
 
-def _words_with(text: np.ndarray, grams: np.ndarray, longest: int = 32) -> set[bytes]:
+def _words_with(text: np.ndarray, grams: np.ndarray, longest: int = _LONGEST) -> set[bytes]:
     """The words, with the spaces around them, in which the grams occur."""
     keys = _grams(text)
     if not len(keys) or not len(grams):
@@ -115,11 +116,19 @@ class Distances:
         first = np.cumsum(number) - number
         rows = np.repeat(np.arange(len(size)), number)
         step = (np.arange(number.sum()) - first[rows]) * self.window
-        length = np.minimum(self.window, size[rows] - step)
+        start = at[:-1][rows] + step
+        end = np.minimum(start + self.window, at[1:][rows])
+        cut = np.flatnonzero(step)  # moved back to white space, which both sides keep; without any near, the sides overlap
+        spaces = np.append(-1 - _LONGEST, np.flatnonzero(IS_SPACE[data]))
+        space = spaces[np.searchsorted(spaces, start[cut], "right") - 1]
+        far = np.maximum(start[cut] - _LONGEST, at[:-1][rows[cut]])
+        end[cut - 1] = np.where(space >= far, space + 1, start[cut])
+        start[cut] = np.where(space >= far, space, far)
+        length = end - start
         live = length > 0
         saved = np.zeros(len(rows), np.int64)
         if live.any():
-            segments = np.stack([at[:-1][rows] + step, length], axis=1)[live].astype(np.uint64).tobytes()
+            segments = np.stack([start, length], axis=1)[live].astype(np.uint64).tobytes()
             whole = zstandard.BufferWithSegments(LOWER[data].tobytes(), segments)
             packed = [c.multi_compress_to_buffer(whole, threads=1) for c in compressors]
             one, two = (np.fromiter((len(p[i]) for i in range(len(p))), np.int64, len(p)) for p in packed)

@@ -21,7 +21,7 @@ from feedlens.llm.jaccard_join import ngram_jaccard_join
 from feedlens.llm.mixing import mixed, mixed_sizes
 from feedlens.llm.quality_qda import quality_scores
 from feedlens.llm.secrets import redact, secret_scan, spans_text
-from feedlens.llm.toxicity import toxicity_scores
+from feedlens.llm.toxicity import Distances, toxicity_scores
 from feedlens.llm.vp_tree import nearest_neighbours
 
 SF = "/root/testdata/sf0.001"
@@ -240,6 +240,21 @@ def test_vantage_points(spark, cloud, factor, least):
     assert nearest_neighbours(cloud.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_toxicity_cuts():
+    """A telling word saves as much across the end of a window as anywhere else."""
+    draw = random.Random(8)
+    filler = " ".join("".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(80))
+    tail = b" wqzkvxpluo \0 qzwvkyxuropltsnm \0"
+    shared = " ".join(filler.split()[::3]).encode() + b" "
+    model = Distances(shared + b"\1" * len(tail), shared + tail, np.zeros(5), np.ones(5), np.zeros(6), 256)
+    for word in ("wqzkvxpluo", "qzwvkyxuropltsnm"):
+        texts = [(filler[: 8 * k] + f"{word} " + filler[8 * k :]) for k in range(2, 70)]
+        texts += [("x" * j + " " + t) for t in texts for j in range(1, 8)]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        saved = model.features(model.compressors(), data, np.append(0, np.cumsum([len(t) for t in texts])))
+        assert saved[:, 0].min() >= 3
+
+
 def test_vantage_points_copies(spark):
     """Thousands of copies and scaled copies of a vector: ties go to the smaller ids."""
     rng = np.random.default_rng(4)
