@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["queries_text", "queries_tables"]
+MODULES = ["queries_text", "queries_tables", "queries_search"]
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
