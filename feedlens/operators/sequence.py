@@ -65,3 +65,20 @@ def with_running_sum(df: DataFrame, order: list[Column], value: Column, name: st
         .withColumn(f"{name}_min", F.least(F.col("_past_low"), F.col("_offset") + F.col("_min")))
         .drop(_PART, _ROW, "_value", "_sum", "_min", "_offset", "_past_low")
     )
+
+
+def with_following(df: DataFrame, order: list[Column], key: str, value: Column, name: str) -> DataFrame:
+    """Adds the ``value`` of the nearest later row of the same ``key`` whose value is not null."""
+    placed = _placed(df.withColumn("_value", value), order)
+    mark = F.when(F.col("_value").isNotNull(), F.struct(F.col(key).alias("k"), F.col("_value").alias("v")))
+    later = Window.partitionBy(_PART).orderBy(F.desc(_ROW)).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_near", F.last(mark, ignorenulls=True).over(later))
+    after = Window.orderBy(F.desc(_PART)).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(_PART).agg(F.min_by(mark, F.when(mark.isNotNull(), F.col(_ROW))).alias("_head"))
+    parts = parts.withColumn("_next", F.last("_head", ignorenulls=True).over(after)).drop("_head")
+    found = F.coalesce("_near", "_next")
+    return (
+        local.join(parts, _PART)
+        .withColumn(name, F.when(found["k"].eqNullSafe(F.col(key)), found["v"]))
+        .drop(_PART, _ROW, "_value", "_near", "_next")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,33 +23,51 @@ def report_stream(log: DataFrame, interval: str = "1 minute", delay: str = "10 m
 def suppress_stream(
     alerts: DataFrame, quiet: timedelta = timedelta(minutes=5), delay: str = "10 minutes"
 ) -> DataFrame:
-    """(alert_key, seq, ts_us) of alerts that are sent.
+    """(alert_key, seq, ts_us) of alerts that are sent, the same ones as in the batch form.
 
-    Input is (alert_key, seq, ts). A key remembers when it was last sent; the rows that one
-    micro-batch brings for a key are put in time order, so ``maxFilesPerTrigger`` and its like
-    bound what a task holds: two numbers per row.
+    Input is (alert_key, seq, ts). A key holds its rows back until the watermark has passed their
+    time, then decides them in time order, so rows that arrive out of order within ``delay`` are
+    judged in event order; later ones are dropped. It holds the rows of ``delay`` and the time of the last
+    alert sent, and forgets the key once that is ``quiet`` ago and nothing waits. Rows the
+    watermark has not passed when the stream ends stay undecided.
     """
     width = int(quiet.total_seconds() * 1_000_000)
 
     def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([c[["ts_us", "seq"]] for c in chunks]).sort_values(["ts_us", "seq"])
-        sent = state.get[0] if state.exists else None
+        sent, times, seqs = state.get if state.exists else (None, [], [])
+        waiting = [pd.DataFrame({"ts_us": list(times), "seq": list(seqs)}, dtype="int64")]
+        if not state.hasTimedOut:
+            waiting += [c[["ts_us", "seq"]] for c in chunks]
+        rows = pd.concat(waiting, ignore_index=True).sort_values(["ts_us", "seq"])
+        watermark = state.getCurrentWatermarkMs()
+        due = rows["ts_us"] // 1000 < watermark
         keep = []
-        for us in rows["ts_us"]:
+        for us in rows.loc[due, "ts_us"]:
             emit = sent is None or us - sent >= width
             if emit:
-                sent = us
+                sent = int(us)
             keep.append(emit)
-        state.update((int(sent),))
-        yield rows[keep].assign(alert_key=key[0])[["alert_key", "seq", "ts_us"]]
+        out, rest = rows[due].loc[np.array(keep, bool)], rows[~due]
+        forget = (sent + width) // 1000 if sent is not None else watermark
+        if len(rest):
+            wake = int(rest["ts_us"].iloc[0]) // 1000
+        else:
+            wake = forget
+        if not len(rest) and forget <= watermark:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((sent, rest["ts_us"].tolist(), rest["seq"].tolist()))
+            state.setTimeoutTimestamp(max(wake, watermark + 1))
+        yield out.assign(alert_key=key[0])[["alert_key", "seq", "ts_us"]]
 
     timed = alerts.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
     return timed.groupBy("alert_key").applyInPandasWithState(
         step,
         "alert_key string, seq bigint, ts_us bigint",
-        "sent bigint",
+        "sent bigint, times array<bigint>, seqs array<bigint>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

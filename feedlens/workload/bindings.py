@@ -322,7 +322,7 @@ TREND_SQL = """least(1e0,
   + CASE WHEN trim(description) <> '' THEN 0.1e0 ELSE 0e0 END)"""
 
 
-def views(*names: str, more: str = "") -> str:
+def views(*names: str, more: str = "", recursive: bool = False) -> str:
     """``WITH`` clause with the named views, followed by further ones."""
     parts = [_VIEWS[n].strip() for n in names] + ([more.strip()] if more else [])
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"

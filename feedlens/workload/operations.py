@@ -234,16 +234,54 @@ def error_alerts(spark, sf_dir):
     return log.select("seq", "ts", F.concat(F.lit("error:"), "data_type").alias("alert_key"))
 
 
-@query("suppress_repeats")
+def chain_sql(rows: str, gap: str) -> str:
+    """CTEs over ``rows`` (k, us, seq, gap columns): ``chain`` has the rows let through one after the other."""
+    return f"""rows AS ({rows}),
+firsts AS (SELECT k, us, min(seq) AS seq FROM rows GROUP BY ALL),
+pointers AS MATERIALIZED (
+  SELECT a.k, a.us, a.seq, b.seq AS nxt FROM (SELECT *, us + {gap} AS t FROM rows) a ASOF JOIN firsts b ON a.k = b.k AND a.t <= b.us),
+chain(k, seq) AS (
+  SELECT k, arg_min(seq, (us, seq)) FROM rows GROUP BY k
+  UNION
+  SELECT p.k, p.nxt FROM chain c JOIN pointers p USING (k, seq) WHERE p.nxt IS NOT NULL)"""
+
+
+_ERRORS = "SELECT 'error:' || data_type AS k, epoch_us(ts) AS us, seq FROM access_log WHERE op = 'error'"
+
+
+@query(
+    "suppress_repeats",
+    b.views("access_log", more=chain_sql(_ERRORS, "7200000000"), recursive=True) + "SELECT seq, k AS alert_key FROM chain",
+)
 def _suppress(spark, sf_dir):
     sent = greedy.suppress_repeats(error_alerts(spark, sf_dir), quiet=timedelta(hours=2))
     return sent.select("seq", "alert_key")
 
 
-@query("coalescing_savings")
+@query(
+    "suppress_repeats_chained",
+    b.views("access_log", more=chain_sql(_ERRORS.replace("'error:' || data_type", "'all'"), "600000000"), recursive=True)
+    + "SELECT seq, k AS alert_key FROM chain",
+)
+def _suppress_chained(spark, sf_dir):
+    """One key for all alerts, whose pieces are decided by pointer doubling."""
+    alerts = error_alerts(spark, sf_dir).withColumn("alert_key", F.lit("all"))
+    return greedy.suppress_repeats(alerts, quiet=timedelta(minutes=10), scan_rows=0).select("seq", "alert_key")
+
+
+# milliseconds read as seconds, so that requests overlap
+_GETS = """SELECT key AS k, epoch_us(ts) AS us, seq, greatest(0, least(round(duration_ms * 1000 * 1000)::BIGINT, 1800000001)) AS gap
+  FROM access_log WHERE op = 'get'"""
+
+
+@query(
+    "coalescing_savings",
+    b.views("access_log", more=chain_sql(_GETS, "gap"), recursive=True)
+    + """SELECT total_requests, merged_requests, merged_requests AS saved_queries, round(merged_requests / total_requests * 100, 6) AS savings_rate
+         FROM (SELECT (SELECT count(*) FROM rows) AS total_requests, (SELECT count(*) FROM rows) - (SELECT count(*) FROM chain) AS merged_requests)""",
+)
 def _coalescing(spark, sf_dir):
     log = b.access_log(spark, sf_dir).where(F.col("op") == "get")
-    # milliseconds read as seconds, so that requests overlap
     slow = log.withColumn("duration_ms", F.col("duration_ms") * 1000)
     merged = greedy.merge_requests(slow, limit=timedelta(minutes=30))
     return _rounded(greedy.merge_savings(merged), "savings_rate")

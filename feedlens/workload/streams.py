@@ -12,6 +12,7 @@ from feedlens.sources import pages as web
 from feedlens.streaming import ingest, monitor
 from feedlens.streaming.run import drain
 from feedlens.workload import bindings as b
+from feedlens.workload.operations import chain_sql
 from feedlens.workload.registry import query
 from feedlens.workload.web import _SINGLE
 
@@ -56,7 +57,19 @@ def _report(spark, sf_dir):
     )
 
 
-@query("stream_suppress_repeats")
+@query(
+    "stream_suppress_repeats",
+    b.views(
+        "access_log",
+        more=chain_sql(
+            "SELECT 'error:' || data_type AS k, epoch_us(ts) AS us, seq FROM access_log WHERE op = 'error' AND epoch_ms(ts) < "
+            "(SELECT epoch_ms(max(ts)) - 600000 FROM access_log WHERE op = 'error')",
+            "7200000000",
+        ),
+        recursive=True,
+    )
+    + "SELECT seq, k AS alert_key FROM chain",
+)
 def _suppress(spark, sf_dir):
     log = b.access_log_of(b.read_stream(spark, sf_dir, "events")).where(F.col("op") == "error")
     alerts = log.select("seq", "ts", F.concat(F.lit("error:"), "data_type").alias("alert_key"))

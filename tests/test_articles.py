@@ -209,3 +209,21 @@ def test_queries(spark):
     assert topic_search(rows, code, talks, "react", NOW, max_results=1).rows["articles"].count() == 0
     with pytest.raises(ValueError):
         topic_search(rows, code, talks, " ", NOW)
+
+
+def test_keep_first_gives_one_row_per_key(spark):
+    """Exact repeats, shared orders, null orders and null keys."""
+    rows = [("a", 1, "x", {"m": "1"})] * 3 + [("b", 2, "y", None), ("b", 2, "z", {}), ("b", 2, "z", {}), ("b", 9, "w", {})]
+    rows += [("c", None, "x", {}), ("c", None, "y", {}), ("d", None, "no", {}), ("d", 5, "yes", {}), (None, 1, "n", {}), (None, 1, "n", {})]
+    df = spark.createDataFrame(rows, "k string, ingest_seq int, v string, m map<string,string>").repartition(3)
+    got = {r.k: r for r in keep_first(df, "k").collect()}
+    assert keep_first(df, "k").count() == len(got) == 5 and keep_first(df, "k").columns == df.columns
+    assert got["d"].v == "yes" and got["a"].m == {"m": "1"} and got["b"].v in "yz" and got[None].v == "n"
+    assert got == {r.k: r for r in keep_first(df.repartition(5), "k").collect()}  # the same row each time
+
+
+def test_repeated_rows_reach_no_result(spark):
+    twice = articles(spark, [dict(id="a", url="u1", title="react hooks", ingest_seq=1)] * 2 + [dict(id="b", url="u2", title="react", ingest_seq=1)])
+    assert weekly_news(twice, as_of=NOW).rows["articles"].count() == 2
+    twin = repos(spark, [dict(id="r", full_name="o/n", stars=50, ingest_seq=1)] * 3)
+    assert trending_repos(twin, as_of=NOW, min_stars=1).rows["repositories"].count() == 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlens.operators import accesslog, greedy, requests, retention
-from feedlens.operators.sequence import with_position, with_running_sum
+from feedlens.operators.sequence import with_following, with_position, with_running_sum
 from feedlens.schemas import ACCESS_LOG, INVENTORY
 from feedlens.session import ensure_checkpoint_dir
 
@@ -66,25 +66,28 @@ def random_times(n, seed):
     return out
 
 
-def test_suppression_matches_brute_force(spark):
-    rows = random_times(600, 1)
-    df = spark.createDataFrame(rows, "alert_key string, ts timestamp_ntz, seq long, duration_ms double")
-    got = {r.seq for r in greedy.suppress_repeats(df).collect()}
-    sent, want = {}, set()
-    for key, ts, seq, _ in rows:
+@pytest.mark.parametrize("scan_rows", [0, 20, greedy.SCAN_ROWS])
+def test_suppression_matches_brute_force(spark, scan_rows):
+    rows = random_times(600, 1) + [(None, T0 + timedelta(seconds=97 * i), 1000 + i, 1.0) for i in range(40)]
+    rows += [("twins", T0, 2000 + i, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "alert_key string, ts timestamp_ntz, seq long, duration_ms double").repartition(5)
+    got = sorted(r.seq for r in greedy.suppress_repeats(df, scan_rows=scan_rows).collect())
+    sent, want = {}, []
+    for key, ts, seq, _ in sorted(rows, key=lambda r: (r[1], r[2])):
         if key not in sent or ts - sent[key] >= timedelta(minutes=5):
             sent[key] = ts
-            want.add(seq)
-    assert got == want and len(want) < len(rows)
+            want.append(seq)
+    assert got == sorted(want) and len(want) < len(rows)
 
 
-def test_merging_matches_brute_force(spark):
-    rows = random_times(600, 2)
-    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq long, duration_ms double")
-    merged = greedy.merge_requests(df)
+@pytest.mark.parametrize("scan_rows", [0, 20, greedy.SCAN_ROWS])
+def test_merging_matches_brute_force(spark, scan_rows):
+    rows = random_times(600, 2) + [("twins", T0 + timedelta(seconds=i // 4), 1000 + i, float(i % 3 * 900)) for i in range(40)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "key string, ts timestamp_ntz, seq long, duration_ms double, k string").repartition(5)
+    merged = greedy.merge_requests(df, scan_rows=scan_rows)
     got = {r.seq for r in merged.where("merged").collect()}
     leader, want = {}, set()
-    for key, ts, seq, ms in rows:
+    for key, ts, seq, ms in sorted(rows, key=lambda r: (r[1], r[2])):
         if key in leader:
             since = ts - leader[key][0]
             if since <= timedelta(seconds=30) and since < timedelta(milliseconds=leader[key][1]):
@@ -93,7 +96,33 @@ def test_merging_matches_brute_force(spark):
         leader[key] = (ts, ms)
     assert got == want and want
     saved = greedy.merge_savings(merged).first()
-    assert (saved.total_requests, saved.saved_queries) == (600, len(want))
+    assert (saved.total_requests, saved.saved_queries) == (640, len(want))
+
+
+def test_greedy_scans_of_nothing(spark):
+    empty = spark.createDataFrame([], "alert_key string, key string, ts timestamp_ntz, seq long, duration_ms double")
+    assert greedy.suppress_repeats(empty).count() == greedy.merge_requests(empty, scan_rows=0).count() == 0
+
+
+def test_a_busy_key_is_spread(spark):
+    """A key without a quiet spell: its rows lie in many parts, and the chain is right across them."""
+    rows = spark.range(30_000).select(F.lit("hot").alias("alert_key"), F.timestamp_micros(F.col("id") * 1_000_003).alias("ts"), F.col("id").alias("seq"))
+    got = sorted(r.seq for r in greedy.suppress_repeats(rows, quiet=timedelta(seconds=100), scan_rows=1000).collect())
+    want, sent = [], None
+    for i in range(30_000):
+        if sent is None or (i - sent) * 1_000_003 >= 100_000_000:
+            sent = i
+            want.append(i)
+    assert got == want
+
+
+def test_following_values(spark):
+    rng = random.Random(4)
+    rows = [(i, "ab"[rng.randrange(2)], rng.choice([None, rng.randrange(99)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, v int").repartition(6)
+    got = {r.id: r.x for r in with_following(df, [F.col("k"), F.col("id")], "k", F.col("v"), "x").collect()}
+    for i, k, _ in rows:
+        assert got[i] == next((v for j, c, v in rows[i + 1 :] if c == k and v is not None), None)
 
 
 def test_positions_and_running_sums(spark):

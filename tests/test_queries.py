@@ -30,7 +30,7 @@ def test_entry(spark):
 
 
 #: Queries that other tests compare with brute force or fixtures.
-WITHOUT_SQL = {"suppress_repeats", "stream_suppress_repeats", "coalescing_savings"} | {
+WITHOUT_SQL = {
     f"render_{kind}_{output}" for kind in ("topic_search", "trending") for output in ("json", "markdown", "text")
 }
 

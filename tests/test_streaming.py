@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -26,11 +27,28 @@ def _stream(spark, path, rows, schema):
 
 
 def test_suppression_stream_equals_batch(spark, tmp_path):
-    rows = [("a" if i % 3 else "b", T0 + timedelta(seconds=70 * i), i) for i in range(80)]
+    """Shuffled within the delay and over several files; state ends once a key is quiet."""
     schema = "alert_key string, ts timestamp, seq long"
-    sent = drain(monitor.suppress_stream(_stream(spark, str(tmp_path / "in"), rows, schema)))
-    batch = greedy.suppress_repeats(spark.createDataFrame(rows, schema))
-    assert {r.seq for r in sent.collect()} == {r.seq for r in batch.collect()}
+    rows = [("ab"[i % 3 > 0], T0 + timedelta(seconds=70 * i), i) for i in range(80)]
+    rows += [("old", T0 + timedelta(seconds=20 * i), 100 + i) for i in range(6)]
+    draw = random.Random(2)
+    arrival = sorted(rows, key=lambda r: r[1] + timedelta(seconds=draw.randrange(500)))
+    path = str(tmp_path / "in")
+    for k in range(4):
+        part = arrival[k * 22 : (k + 1) * 22]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    (tmp_path / "out").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = (
+        monitor.suppress_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    last = max(r[1] for r in rows) - timedelta(minutes=10)
+    batch = greedy.suppress_repeats(spark.createDataFrame([r for r in rows if r[1] < last], schema))
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r.seq for r in batch.collect())
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) == 3 and kept[-1] == 2  # "old" is forgotten
 
 
 def test_expiry_stream(spark, tmp_path):
