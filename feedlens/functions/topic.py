@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,15 @@ from feedlens.functions.scores import unit
 from feedlens.functions.text import col, cut_bytes
 
 
+#: A keyword within the first bytes of a text counts as early.
+HEAD_BYTES = 100
+
+
 def query_keywords(query: str) -> list[str]:
     return query.lower().split()
 
 
-def _holds_half(body: Column, keyword: str) -> Column:
+def half_hit(body: Column, keyword: str) -> Column:
     """True when either byte half of a keyword over four bytes occurs in the text."""
     raw = keyword.encode()
     if len(raw) <= 4:
@@ -27,32 +33,44 @@ def _holds_half(body: Column, keyword: str) -> Column:
     return F.contains(body, F.lit(front)) | F.contains(body, F.lit(back))
 
 
-def text_relevance(c: Column | str, keywords: list[str]) -> Column:
-    """How early and how completely the keywords occur in the text, 0.1 to 1."""
-    if not keywords:
+@dataclass(frozen=True)
+class Match:
+    """What a text shows of a keyword: held at all, at its start, in its head, or only by half."""
+
+    found: Column
+    first: Column
+    early: Column
+    half: Column
+
+
+def relevance_of(matches: list[Match]) -> Column:
+    """How early and how completely the keywords occur, 0.1 to 1; 0.5 without keywords."""
+    if not matches:
         return F.lit(0.5)
-    body = F.lower(col(c))
-    head = cut_bytes(body, 100)
     total: Column = F.lit(0.0)
     hits: Column = F.lit(0)
-    for keyword in keywords:
-        word = F.lit(keyword)
-        found = F.contains(body, word)
-        place = (
-            F.when(F.startswith(body, word), F.lit(1.0))
-            .when(F.contains(head, word), F.lit(0.8))
-            .otherwise(F.lit(0.6))
-        )
+    for m in matches:
+        place = F.when(m.first, F.lit(1.0)).when(m.early, F.lit(0.8)).otherwise(F.lit(0.6))
         total = (
             total
-            + F.when(found, place).otherwise(F.lit(0.0))
-            + F.when(_holds_half(body, keyword), F.lit(0.3)).otherwise(F.lit(0.0))
+            + F.when(m.found, place).otherwise(F.lit(0.0))
+            + F.when(m.half, F.lit(0.3)).otherwise(F.lit(0.0))
         )
-        hits = hits + found.cast("int")
-    n = F.lit(float(len(keywords)))
+        hits = hits + m.found.cast("int")
+    n = F.lit(float(len(matches)))
     return F.greatest(F.lit(0.1), F.least(F.lit(1.0), total / n + hits.cast("double") / n * F.lit(0.2)))
 
 
+def text_relevance(c: Column | str, keywords: list[str]) -> Column:
+    """How early and how completely the keywords occur in the text, 0.1 to 1."""
+    body = F.lower(col(c))
+    head = cut_bytes(body, HEAD_BYTES)
+    words = [(k, F.lit(k)) for k in keywords]
+    return relevance_of(
+        [Match(F.contains(body, w), F.startswith(body, w), F.contains(head, w), half_hit(body, k)) for k, w in words]
+    )
+
+
 def tag_relevance(tags: Column | str, keywords: list[str]) -> Column:
     if not keywords:
         return F.lit(0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.times import moment
 from feedlens.operators import ordering
+from feedlens.operators.conversations import with_content
 from feedlens.plans.result import QueryResult
 from feedlens.sinks import items
 from feedlens.sinks.documents import render_mixed, renderer_for
@@ -44,6 +45,8 @@ def _ranked_objects(result: QueryResult, settings: RenderSettings) -> dict[str,
     """The rows of each entity as one array in the order of the query; the rows are bounded by its limit."""
     out = {}
     for entity, df in result.rows.items():
+        if entity == "discussions" and "content" not in df.columns:
+            df = with_content(df, result.settings["turns"])
         numbered = ordering.numbered(df, result.settings["order"][entity], "index")
         pairs = F.collect_list(F.struct("index", _OBJECTS[entity](settings).alias("item")))
         pairs = F.array_sort(pairs, lambda x, y: (x["index"] - y["index"]).cast("int"))

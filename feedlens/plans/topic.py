@@ -15,6 +15,7 @@ from feedlens.functions.topic import (
     repo_topic_relevance,
 )
 from feedlens.operators import filters, ordering, reports
+from feedlens.operators.conversations import with_relevance
 from feedlens.plans.result import QueryResult, check_choice, check_range
 
 _RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -35,12 +36,14 @@ def topic_search(
     output: str = "json",
     tech_weights: dict[str, float] | None = None,
     enforce_time_range: bool = False,
+    turns: DataFrame | None = None,
 ) -> QueryResult:
     """Scores each entity against the query, filters, ranks and shares out the limit.
 
     ``platform`` and ``search_type`` gate the entities: repositories come from the code host,
     articles from the article service; discussions take part whenever they are asked for.
-    ``time_range`` restricts rows only with ``enforce_time_range``.
+    ``time_range`` restricts rows only with ``enforce_time_range``. With ``turns`` (id, turn, role, text)
+    the discussions are scored turn by turn and need no ``content``.
     """
     if not query.strip():
         raise ValueError("query is required")
@@ -69,7 +72,11 @@ def topic_search(
             df = df.where(F.lit(False))
         if enforce_time_range and time_range in _RANGE_DAYS:
             df = df.where(F.col(when) >= at(moment(as_of) - timedelta(days=_RANGE_DAYS[time_range])))
-        scored = filters.filter_min_score(df.withColumn(column, score), min_score, column)
+        if name == "discussions" and turns is not None and wanted:
+            scored = with_relevance(df, turns, query)
+        else:
+            scored = df.withColumn(column, score if wanted else F.lit(0.0))
+        scored = filters.filter_min_score(scored, min_score, column)
         # a quota of zero keeps nothing, unlike "no limit"
         rows[name] = scored.orderBy(*ordering.order_topic(sort_by, name)).limit(quota[name])
     return QueryResult(
@@ -84,6 +91,7 @@ def topic_search(
             "searched_at": moment(as_of),
             "output": output,
             "max_summary": 150,
+            "turns": turns,
             "order": {name: ordering.order_topic(sort_by, name) for name in rows},
         },
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.identity import repo_id
 from feedlens.functions.times import at
+from feedlens.operators.conversations import headers
 
 REPO_AS_OF = "2001-11-05 00:00:00"
 AS_OF = "2024-01-31 00:00:00"
@@ -95,32 +96,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A discussion per conversation: its first user turn as title, all turns in order as content.
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the discussions, a row each."""
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", "role", "text")
+
 
-    The turns of one conversation are one record, so they are joined in the row that holds them.
-    """
-    turns = read(spark, sf_dir, "conversations")
-    conv = F.col("conv_id")
+def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A discussion per conversation, without its text: that stays in ``turns``."""
     platforms = F.array(F.lit("stackoverflow"), F.lit("reddit"), F.lit("github"))
-    grouped = turns.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias(
-            "content"
-        ),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("role") == "assistant").alias("score"),
-    )
-    return grouped.select(
-        conv.cast("string").alias("id"),
-        F.coalesce("title", F.lit("")).alias("title"),
-        "content",
-        F.get(platforms, (conv % 3).cast("int")).alias("platform"),
-        "score",
-        (F.col("_n") - 1).alias("replies"),
-        (at(AS_OF) - F.make_interval(hours=conv.cast("int"))).alias("created_at"),
-        conv.alias("ingest_seq"),
-    )
+    conv = F.col("id").cast("long")
+    return headers(turns(spark, sf_dir)).select(
+        "id", "title", F.get(platforms, (conv % 3).cast("int")).alias("platform"), "score", "replies",
+        (at(AS_OF) - F.make_interval(hours=conv.cast("int"))).alias("created_at"), conv.alias("ingest_seq"),
+    )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

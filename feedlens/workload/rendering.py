@@ -199,20 +199,28 @@ def _trending_json(spark, sf_dir):
     + """SELECT 'ention the javascript' AS query, (SELECT count(*) FROM top_a) AS articles, (SELECT count(*) FROM top_r) AS repositories,
          (SELECT count(*) FROM top_d) AS discussions,
          (SELECT count(*) FROM top_a) + (SELECT count(*) FROM top_r) + (SELECT count(*) FROM top_d) AS total,
-         coalesce((SELECT string_agg(i, ',' ORDER BY s) FROM (SELECT CAST(ingest_seq AS VARCHAR) AS i, ingest_seq AS s FROM top_d)), '') AS talks""",
+         coalesce((SELECT string_agg(id || ':' || round(score, 6), ',' ORDER BY round(score, 9) DESC, id, ingest_seq) FROM top_a), '') AS article_ids,
+         coalesce((SELECT string_agg(id || ':' || round(score, 6), ',' ORDER BY round(score, 9) DESC, id, ingest_seq) FROM top_r), '') AS repository_ids,
+         coalesce((SELECT string_agg(id || ':' || round(score, 6) || ':' || md5(content), ',' ORDER BY round(score, 9) DESC, id, ingest_seq) FROM top_d), '') AS talks""",
 )
 def _topic_json(spark, sf_dir):
     shape = (
-        "query string, articles array<struct<id:string>>, repositories array<struct<id:string>>, "
-        "discussions array<struct<id:string>>, totalResults long"
+        "query string, articles array<struct<id:string,relevance:double>>, repositories array<struct<id:string,trendScore:double>>, "
+        "discussions array<struct<id:string,relevance:double,content:string>>, totalResults long"
     )
     count = lambda entity: F.size(f"r.{entity}").cast("long").alias(entity)
-    talks = F.array_sort(F.transform("r.discussions.id", lambda i: i.cast("long")))
+
+    def listed(entity, score, *more):
+        parts = lambda x: [x["id"], F.round(x[score], 6).cast("string"), *[F.md5(x[c]) for c in more]]
+        return F.array_join(F.transform(f"r.{entity}", lambda x: F.concat_ws(":", *parts(x))), ",")
+
     return _read_back(whole_result(topics._search(spark, sf_dir), b.AS_OF), shape).select(
         F.col("r.query").alias("query"),
         count("articles"),
         count("repositories"),
         count("discussions"),
         F.col("r.totalResults").alias("total"),
-        F.array_join(talks.cast("array<string>"), ",").alias("talks"),
+        listed("articles", "relevance").alias("article_ids"),
+        listed("repositories", "trendScore").alias("repository_ids"),
+        listed("discussions", "relevance", "content").alias("talks"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import topic
 from feedlens.operators import conform, filters, reports
+from feedlens.operators.conversations import with_relevance
 from feedlens.plans.topic import topic_search
 from feedlens.workload import bindings as b
 from feedlens.workload.registry import query
@@ -65,7 +66,7 @@ TALK = text_sql(_D_BODY, _WORDS)
 def _search(spark, sf_dir, text=TEXT, **settings):
     return topic_search(
         conform.to_articles(b.articles(spark, sf_dir), b.AS_OF), b.repositories(spark, sf_dir),
-        b.discussions(spark, sf_dir), text, b.AS_OF, tech_weights=TECH, **settings,
+        b.discussions(spark, sf_dir), text, b.AS_OF, tech_weights=TECH, turns=b.turns(spark, sf_dir), **settings,
     )
 
 
@@ -168,7 +169,7 @@ def _keywords(spark, sf_dir):
 )
 def _platforms(spark, sf_dir):
     articles = conform.to_articles(b.articles(spark, sf_dir), b.AS_OF)
-    talks = b.discussions(spark, sf_dir).withColumn("relevance", topic.discussion_topic_relevance(TEXT))
+    talks = with_relevance(b.discussions(spark, sf_dir), b.turns(spark, sf_dir), TEXT)
     return reports.platform_info(articles, talks).withColumn("quality", F.round("quality", 6))
 
 
@@ -215,9 +216,8 @@ def _repo_scores(spark, sf_dir):
     b.views("discussions") + f"SELECT id, platform, score, replies, round({TALK}, 6) AS relevance FROM discussions",
 )
 def _talk_scores(spark, sf_dir):
-    return b.discussions(spark, sf_dir).select(
-        "id", "platform", "score", "replies", F.round(topic.discussion_topic_relevance(TEXT), 6).alias("relevance")
-    )
+    scored = with_relevance(b.discussions(spark, sf_dir), b.turns(spark, sf_dir), TEXT)
+    return scored.select("id", "platform", "score", "replies", F.round("relevance", 6).alias("relevance"))
 
 
 @query(
@@ -225,5 +225,5 @@ def _talk_scores(spark, sf_dir):
     b.views("discussions") + f"SELECT id FROM discussions WHERE {TALK} >= 0.5e0",
 )
 def _min_score(spark, sf_dir):
-    scored = b.discussions(spark, sf_dir).withColumn("relevance", topic.discussion_topic_relevance(TEXT))
+    scored = with_relevance(b.discussions(spark, sf_dir), b.turns(spark, sf_dir), TEXT)
     return filters.filter_min_score(scored, 0.5).select("id")
