@@ -73,7 +73,7 @@ def _holds(term: str) -> Column:
     return out
 
 
-def _idf(total: Column, frequency: Column) -> Column:
+def idf_value(total: Column, frequency: Column) -> Column:
     return (
         F.when(total == 0, F.lit(0.0))
         .when(frequency == 0, F.ln(total.cast("double")))
@@ -93,7 +93,7 @@ def inverse_document_frequency(corpus: DataFrame, terms: list[str]) -> DataFrame
         F.col("r.term").alias("term"),
         F.col("n").alias("total_docs"),
         F.col("r.df").alias("doc_count"),
-        _idf(F.col("n"), F.col("r.df")).alias("idf"),
+        idf_value(F.col("n"), F.col("r.df")).alias("idf"),
     )
 
 
@@ -137,7 +137,7 @@ def tfidf_score(
     statistics = corpus.agg(
         F.struct(
             total.alias("n"),
-            *[_idf(total, F.count_if(_holds(s))).alias(name) for s, name in idf_of.items()],
+            *[idf_value(total, F.count_if(_holds(s))).alias(name) for s, name in idf_of.items()],
         )
     ).scalar()
     found = list(dict.fromkeys(v for pair in variants for v in pair))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import terms
 from feedlens.functions.text import plain_text
-from feedlens.operators import corpus, ordering, personalize, summarize
+from feedlens.operators import corpus, matching, ordering, personalize, summarize
 from feedlens.workload import bindings as b
 from feedlens.workload import sqltext as q
 from feedlens.workload.articles import LEXICON, lexicon_sql
@@ -77,6 +77,43 @@ def _idf(spark, sf_dir):
     return rows.withColumn("idf", F.round("idf", 6))
 
 
+def vocabulary(spark, sf_dir):
+    """A table of terms: the words of all benchmark items, and a weight for each."""
+    words = b.read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    words = words.where(F.length("word") > 1).distinct()
+    return words.withColumn("weight", (F.length("word") % 7 + 1) / F.lit(2000.0))
+
+
+_VOCABULARY = r"""
+vocabulary AS (
+  SELECT DISTINCT word, (length(word) % 7 + 1) / 2000e0 AS weight
+  FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM benchmark) WHERE length(word) > 1)"""
+
+
+@query(
+    "document_frequencies",
+    b.views("articles", more=_VOCABULARY)
+    + """SELECT word AS term, count(*) AS total_docs, CAST(count_if(contains(lower(title), word) OR contains(lower(summary), word) OR contains(lower(content), word)
+                OR list_contains(list_transform(tags, lambda t: contains(lower(t), word)), true)) AS BIGINT) AS doc_count,
+           round(CASE WHEN doc_count = 0 THEN ln(total_docs) ELSE ln(total_docs * 1e0 / doc_count) END, 6) AS idf
+         FROM vocabulary, articles GROUP BY word""",
+)
+def _frequencies(spark, sf_dir):
+    rows = matching.document_frequencies(b.articles(spark, sf_dir), vocabulary(spark, sf_dir), "word")
+    return rows.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "lexicon_table_relevance",
+    b.views("articles", more=_VOCABULARY)
+    + """SELECT id, round(least(1e0, sum(weight * (CASE WHEN contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), word) THEN 1.5e0 ELSE 0e0 END + CASE WHEN contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), word) THEN 1e0 ELSE 0e0 END
+           + 1.2e0 * len(list_filter(tags, lambda t: t = word))))), 6) AS relevance FROM articles, vocabulary GROUP BY id""",
+)
+def _lexicon_table(spark, sf_dir):
+    rows = matching.lexicon_table_relevance(b.articles(spark, sf_dir), vocabulary(spark, sf_dir))
+    return rows.select("id", F.round("relevance", 6).alias("relevance"))
+
+
 _KEYS = ", ".join(f"('{terms.letters_only(w)}', '{s}')" for w, s in _STEMS.items())
 _TFIDF_CTE = f"""{q.TERM_CTES},{_IDF_CTE},
 keys(plain, stem) AS (VALUES {_KEYS}),
