@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import scores
 from feedlens.functions.identity import article_hash, article_id
-from feedlens.operators import conform, filters, ordering, personalize, reports
+from feedlens.operators import conform, filters, ordering, personalize, readers, reports
 from feedlens.operators.dedup import dedup_articles, dedup_by_url, union_sources
 from feedlens.operators.lexicon import lexicon_relevance
 from feedlens.operators.sequence import with_position
@@ -485,3 +485,23 @@ def _personal(spark, sf_dir):
     return personalize.personalize_articles(_scored(spark, sf_dir), prefs, b.AS_OF).select(
         "id", F.round("quality", 6).alias("quality"), F.round("relevance", 6).alias("relevance")
     )
+
+
+@query(
+    "article_feeds",
+    b.views("articles", "prefs", more=_SCORED)
+    + f"""SELECT reader_id, rank, id, topic, round(raised, 6) AS relevance, round(q, 6) AS quality FROM (
+           SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY raised DESC, relevance DESC, id)::INTEGER AS rank FROM (
+             SELECT reader_id, id, topic, relevance, least(1e0, relevance + CASE WHEN length(topic) = 3 THEN 0.25e0 ELSE 0.1e0 END) AS raised,
+               CASE WHEN reader_id % 10 > 0 THEN least(1e0, base + {_DECAY} * (reader_id % 10) / 10e0 * 0.1e0) ELSE base END AS q
+             FROM (
+               SELECT *, CASE WHEN source = 'src' || (reader_id % 20) THEN least(1e0, quality + 0.1e0) ELSE quality END AS base,
+                 list_filter(topics, lambda t: contains(lower(title), lower(t)) OR contains(lower(summary), lower(t))
+                   OR list_contains(list_transform(tags, lambda g: contains(lower(g), lower(t))), true))[1] AS name, lower(name) AS topic
+               FROM prefs, (SELECT * REPLACE (round(0.3e0 + ingest_seq % 97 / 140e0, 9) AS relevance) FROM s))
+             WHERE name IS NOT NULL)) WHERE rank <= 20""",
+)
+def _feeds(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("relevance", F.round(0.3 + F.col("ingest_seq") % 97 / F.lit(140.0), 9))
+    feeds = readers.article_feeds(rows, b.preferences(spark, sf_dir), b.AS_OF)
+    return feeds.select("reader_id", "rank", "id", "topic", F.round("relevance", 6).alias("relevance"), F.round("quality", 6).alias("quality"))

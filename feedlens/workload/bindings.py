@@ -6,7 +6,7 @@ reference query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.identity import repo_id
@@ -111,6 +111,33 @@ def discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Topics of the readers; the given texts are invented, so these are parts of their words.
+TOPICS = ["Den", "cur", "ion", "sch", "React", "tool", "the", "Que", "éta", "example", "brand#1", "zzz"]
+
+
+def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preferences of a reader per user: topics in the order of its first events, weights for some of them."""
+    events = read(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = events.select("user_id", "event_id", F.coalesce(k, F.lit(0)).alias("k"))
+    place = Window.partitionBy("user_id").orderBy("event_id")
+    first = rows.withColumn("at", F.row_number().over(place)).where("at <= 3")
+    names = F.array(*[F.lit(t) for t in TOPICS])
+    topic = F.get(names, (F.col("k") % len(TOPICS)).cast("int"))
+    chosen = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", topic.alias("topic"), "k"))).alias("_t"))
+    listed = F.array_distinct(F.transform("_t", lambda x: x["topic"]))
+    heavy = F.filter(listed, lambda t: F.char_length(t) == 3)
+    user = F.col("user_id")
+    return chosen.select(
+        user.alias("reader_id"),
+        listed.alias("favorite_topics"),
+        F.map_from_arrays(heavy, F.transform(heavy, lambda t: F.lit(0.25))).alias("topic_weights"),
+        F.array(F.concat(F.lit("src"), (user % 20).cast("string"))).alias("preferred_sources"),
+        ((user % 10) / F.lit(10.0)).alias("recency"),
+        F.array(F.get(F.array(*[F.lit(x) for x in ("javascript", "Go", "CSS")]), (user % 3).cast("int"))).alias("languages"),
+    )
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed payload per web page."""
     return pages_of(read(spark, sf_dir, "pages"))
@@ -237,6 +264,14 @@ articles AS (
          source, CASE d.doc_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'api' ELSE 'html' END AS source_type,
          lang AS language, d.doc_id AS ingest_seq
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)""",
+    "prefs": f"""
+prefs AS (
+  SELECT reader_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS topics FROM (
+    SELECT user_id AS reader_id, list(topic ORDER BY event_id) AS t FROM (
+      SELECT user_id, event_id, {TOPICS!r}[1 + coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % {len(TOPICS)}] AS topic,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE user_id IS NOT NULL)
+    WHERE nth <= 3 GROUP BY user_id)
 )""",
     "discussions": """
 discussions AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import scores
 from feedlens.functions.identity import repo_hash, repo_id
-from feedlens.operators import conform, filters, ordering, personalize, reports
+from feedlens.operators import conform, filters, ordering, personalize, readers, reports
 from feedlens.operators.dedup import dedup_repos
 from feedlens.operators.sequence import with_position
 from feedlens.plans.trending import trending_repos
@@ -340,3 +340,19 @@ def _personal(spark, sf_dir):
     return personalize.personalize_repos(repos, prefs).select(
         "ingest_seq", F.round("trend_score", 6).alias("trend_score")
     )
+
+
+@query(
+    "repository_feeds",
+    b.views("repositories", "prefs", more=f"s AS (SELECT *, {b.TREND_SQL} AS trend_score FROM repositories)")
+    + """SELECT reader_id, rank, ingest_seq AS id, topic, round(raised, 6) AS trend_score FROM (
+           SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY raised DESC, trend_score DESC, ingest_seq)::INTEGER AS rank FROM (
+             SELECT *, lower(name_) AS topic, least(1e0, base + CASE WHEN length(name_) = 3 THEN 0.125e0 ELSE 0.05e0 END) AS raised FROM (
+               SELECT *, CASE WHEN lower(language) = ['javascript', 'go', 'css'][1 + reader_id % 3] THEN least(1e0, trend_score + 0.1e0) ELSE trend_score END AS base,
+                 list_filter(topics, lambda t: contains(lower(name), lower(t)) OR contains(lower(description), lower(t)) OR contains(lower(full_name), lower(t)))[1] AS name_
+               FROM prefs, s) WHERE name_ IS NOT NULL)) WHERE rank <= 20""",
+)
+def _feeds(spark, sf_dir):
+    repos = b.repositories(spark, sf_dir).withColumn("trend_score", scores.trend_score(b.REPO_AS_OF))
+    feeds = readers.repository_feeds(repos, b.preferences(spark, sf_dir), id_col="ingest_seq")
+    return feeds.select("reader_id", "rank", "id", "topic", F.round("trend_score", 6).alias("trend_score"))
