@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from feedlens.sources.api import parse_api
 from feedlens.sources.catalog import classify_source_type
 from feedlens.sources.feeds import parse_feed
+from feedlens.sources.landed import LandedPayloads
 from feedlens.sources.pages import parse_pages
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -22,6 +24,21 @@ def register_source(kind: str, parser: Parser) -> None:
     _PARSERS[kind] = parser
 
 
+def register_connector(spark: SparkSession, connector: type[DataSource]) -> str:
+    """Makes a connector of the Python data source API known to the session and returns its format.
+
+    A connector gives payload rows; ``parse_payloads`` then applies the parsers by type.
+    """
+    spark.dataSource.register(connector)
+    return connector.name()
+
+
+def read_landed(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
+    """Raw articles of a landing folder (see ``landed``), as a table or a stream."""
+    reader = (spark.readStream if stream else spark.read).format(register_connector(spark, LandedPayloads))
+    return parse_payloads(reader.options(**options).load(path))
+
+
 def source_types() -> list[str]:
     return sorted(_PARSERS)
 

@@ -14,7 +14,7 @@ from feedlens.streaming.run import drain
 from feedlens.workload import bindings as b
 from feedlens.workload.operations import chain_sql
 from feedlens.workload.registry import query
-from feedlens.workload.web import _SINGLE
+from feedlens.workload.web import _SINGLE, LANDED_SQL, landed_articles
 
 
 @query(
@@ -27,6 +27,11 @@ def _pages(spark, sf_dir):
     return rows.select("id", "title", F.md5("content").alias("digest"), "author")
 
 
+@query("stream_landed_articles", LANDED_SQL)
+def _landed(spark, sf_dir):
+    return drain(landed_articles(spark, sf_dir, stream=True))
+
+
 @query(
     "stream_dedup_articles",
     """SELECT DISTINCT md5(lower(left(split_part(text, chr(10), 1), 120)) || '|' || source) AS key FROM documents""",

@@ -10,6 +10,7 @@ from feedlens.functions.identity import short_id
 from feedlens.functions.urls import normalize_url
 from feedlens.operators import conform
 from feedlens.sources import pages as web
+from feedlens.sources import registry
 from feedlens.workload import bindings as b
 from feedlens.workload import sqltext as q
 from feedlens.workload.registry import query
@@ -137,6 +138,26 @@ def _single(spark, sf_dir):
     )
 
 
+LANDED_SQL = f"""WITH {_SINGLE.strip()}
+        SELECT left(sha256(url), 16) AS id, url, title, md5(content) AS digest, author, '2024-01-31 00:00:00' AS published_at,
+          'web,landed' AS first_tags, page_id * 1000000 AS ingest_seq FROM one"""
+
+
+def landed_articles(spark, sf_dir, stream=False):
+    """The pages through the data source for landing folders and the parser of their type."""
+    options = dict(url="url", body="html", seq="page_id", tags="web,landed", fetched_at="2024-01-31T00:00:00", metadata='{"source_type": "html"}')
+    rows = registry.read_landed(spark, f"{sf_dir}/pages.parquet", stream, **options)
+    return rows.select(
+        "id", "url", "title", F.md5("content").alias("digest"), "author", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+        F.array_join(F.slice("tags", 1, 2), ",").alias("first_tags"), "ingest_seq",
+    )
+
+
+@query("landed_articles", LANDED_SQL)
+def _landed(spark, sf_dir):
+    return landed_articles(spark, sf_dir)
+
+
 @query(
     "page_text",
     f"SELECT page_id, md5({q.page_text('html')}) AS decoded, md5({q.tidy(q.strip('html'))}) AS plain, "
