@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from feedlens import vocab
 from feedlens.functions.text import col, replace_all, trim_space
@@ -110,16 +105,44 @@ def normalize_url(c: Column | str, drop_tracking: bool = True) -> Column:
     return F.when(is_parseable(url), out).otherwise(raw)
 
 
-@cache
-def _reference_joiner():
-    def join(base: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([b and r and urljoin(b, r) for b, r in zip(base, ref)], dtype=object)
+#: Schemes whose references have paths.
+_WITH_PATHS = ["", "file", "ftp", "http", "https"]
+
+
+def fold_segments(path: Column, base_path: Column) -> Column:
+    """A path below a base path without its dot segments; each ".." takes the segment before it."""
+    parts = F.split(base_path, "/")
+    folder = F.when(F.element_at(parts, -1) != "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    below = F.concat(folder, F.split(path, "/"))
+    n = F.size(below)
+    below = F.filter(below, lambda s, i: (s != "") | (i == 0) | (i == n - 1))
+    kept = F.when(path.startswith("/"), F.split(path, "/")).otherwise(below)
+    shut = F.when(F.element_at(kept, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+
+    def step(done: Column, segment: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", shorter).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
 
-    return F.pandas_udf(join, StringType())
+    folded = F.array_join(F.aggregate(shut, F.array().cast("array<string>"), step), "/")
+    return F.when(folded == "", F.lit("/")).otherwise(folded)
+
+
+def _folded_reference(link: Column, page: Column, tail: Column) -> Column:
+    """A link whose path has dot segments. With a host of its own, or another scheme, it stays as it is."""
+    sch, own = F.lower(_part(page, 1)), F.lower(_part(link, 1))
+    authority, host_of_link = _part(page, 2), _part(link, 2)
+    path = fold_segments(_part(link, 4), _part(page, 4))
+    start = F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise("")
+    rooted = F.when((authority != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    return (
+        F.when(((own != "") & (own != sch)) | ~sch.isin(_WITH_PATHS), link)
+        .when(_part(link, 3) != "", F.concat(start, host_of_link, _part(link, 4), tail))
+        .otherwise(F.concat(start, authority, rooted, tail))
+    )
 
 
 def resolve_url(ref: Column | str, base: Column | str) -> Column:
-    """A link resolved against its page. Only paths with dot segments leave the JVM."""
+    """A link resolved against its page, all in column expressions."""
     link, page = col(ref), col(base)
     sch, authority = _part(page, 1), _part(page, 2)
     origin = F.concat(F.when(sch != "", F.concat(F.lower(sch), F.lit(":"))).otherwise(""), authority)
@@ -131,7 +154,7 @@ def resolve_url(ref: Column | str, base: Column | str) -> Column:
     )
     path = encode_path(_part(link, 4))
     dotted = _part(link, 4).rlike(r"(^|/)\.\.?(/|$)")
-    joined = _reference_joiner()(F.when(dotted, page), F.when(dotted, link))
+    joined = _folded_reference(link, page, tail)
     return (
         F.when(~is_parseable(link) | ~is_parseable(page), link)
         .when(dotted, joined)

@@ -160,6 +160,21 @@ def _memory_totals(levels: DataFrame, max_bytes: int) -> DataFrame:
     )
 
 
+def memory_by_interval(log: DataFrame, max_bytes: int, interval: str = "1 hour") -> DataFrame:
+    """(window_start, memory_percent): the level at the end of each interval of the log.
+
+    An interval without moves keeps the level before it, at first none. The window runs over one row
+    an interval.
+    """
+    spans = log.groupBy(F.window("ts", interval).alias("w")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = memory_levels(log).groupBy(F.window("ts", interval).alias("w")).agg(F.max_by("level", F.struct("ts", "seq")).alias("_level"))
+    order = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    joined = spans.join(ends, "w", "left").select(F.col("w.start").alias("window_start"), "_level")
+    level = F.coalesce(F.last("_level", ignorenulls=True).over(order), F.lit(0))
+    share = level / max_bytes * 100 if max_bytes > 0 else F.lit(0.0)
+    return joined.select("window_start", share.alias("memory_percent"))
+
+
 def memory_history(log: DataFrame, n: int = 100) -> DataFrame:
     """The last ``n`` levels, latest first."""
     return memory_levels(log).orderBy(F.desc("ts"), F.desc("seq")).limit(n)

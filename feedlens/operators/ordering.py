@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.scores import article_trend, composite_score, repo_composite
@@ -210,6 +210,18 @@ def validate_page(page: int, size: int) -> None:
         raise ValueError("page size must be between 1 and 100")
 
 
+def _totals(total: Column, page: int, size: int) -> list[Column]:
+    pages = F.ceil(total / F.lit(size)).cast("long")
+    return [
+        F.lit(page).cast("long").alias("current_page"),
+        F.lit(size).cast("long").alias("page_size"),
+        total.alias("total_items"),
+        pages.alias("total_pages"),
+        (F.lit(page) < pages).alias("has_next"),
+        F.lit(page > 1).alias("has_prev"),
+    ]
+
+
 def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> Page:
     """One page of the sorted rows and its totals; numbers below one take the defaults.
 
@@ -225,13 +237,39 @@ def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 20)
         placed = with_position(df, order, "_position")
         rows = placed.where(F.col("_position").between(first + 1, first + size)).orderBy("_position").drop("_position")
     total = F.count(F.lit(1))
-    pages = F.ceil(total / F.lit(size)).cast("long")
-    info = df.agg(
-        F.lit(page).cast("long").alias("current_page"),
-        F.lit(size).cast("long").alias("page_size"),
-        total.alias("total_items"),
-        pages.alias("total_pages"),
-        (F.lit(page) < pages).alias("has_next"),
-        F.lit(page > 1).alias("has_prev"),
-    )
+    info = df.agg(*_totals(total, page, size))
     return Page(rows, info)
+
+
+class PageIndex:
+    """A sorted copy of a table, written once, from which any page is read without sorting again.
+
+    The rows lie in folders of ``block_rows`` positions, so a page opens one folder or two, whatever the size
+    of the table. The totals are kept beside them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @classmethod
+    def build(cls, df: DataFrame, order: list[Column], folder: str, block_rows: int = 10_000) -> PageIndex:
+        """Sorts the rows by ``order``, which must be total, and writes them below ``folder``."""
+        index = cls(df.sparkSession, folder)
+        placed = with_position(df, order, "_position").withColumn("_block", F.floor((F.col("_position") - 1) / block_rows))
+        placed.write.partitionBy("_block").parquet(f"{index.folder}/rows")
+        index.spark.createDataFrame([], placed.schema).drop("_block").write.mode("append").parquet(f"{index.folder}/rows/_block=-1")
+        totals = df.agg(F.count(F.lit(1)).alias("total_items"), F.lit(block_rows).cast("long").alias("block_rows"))
+        totals.write.parquet(f"{index.folder}/totals")
+        return index
+
+    def page(self, page: int = 1, size: int = 20) -> Page:
+        """The rows of a page with ``_position``, and its totals; numbers below one take the defaults."""
+        size = size if size > 0 else 20
+        page = page if page > 0 else 1
+        first, last = (page - 1) * size + 1, page * size
+        totals = self.spark.read.parquet(f"{self.folder}/totals")
+        block_rows = totals.first().block_rows
+        rows = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
+        rows = rows.where(F.col("_block").between((first - 1) // block_rows, (last - 1) // block_rows))
+        rows = rows.where(F.col("_position").between(first, last)).drop("_block")
+        return Page(rows, totals.select(*_totals(F.col("total_items"), page, size)))

@@ -209,13 +209,20 @@ def completeness() -> Column:
     )
 
 
-def has_more_letters(c: Column | str, n: int) -> Column:
-    """More than ``n`` distinct letters and digits: something is left once ``n`` are removed."""
-    letters = F.regexp_replace(col(c), r"[^\p{L}\p{Nd}]+", "")
-    rest = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n)), letters, lambda left, _: F.replace(left, F.left(left, F.lit(1)), F.lit(""))
-    )
-    return rest != ""
+def has_more_letters(c: Column | str, n: int, first: int = 300) -> Column:
+    """More than ``n`` distinct letters and digits: something is left once ``n`` are removed.
+
+    The first characters of a text mostly show that many, and the rest is not looked at then.
+    """
+
+    def more(text: Column) -> Column:
+        letters = F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")
+        rest = F.aggregate(
+            F.sequence(F.lit(1), F.lit(n)), letters, lambda left, _: F.replace(left, F.left(left, F.lit(1)), F.lit(""))
+        )
+        return rest != ""
+
+    return F.when(more(F.left(col(c), F.lit(first))), F.lit(True)).otherwise(more(col(c)))
 
 
 def length_variety(counts: str, mean: str) -> Column:
@@ -233,18 +240,18 @@ def readability(df: DataFrame, out: str = "readability") -> DataFrame:
     body = F.when(F.col("content") != "", F.col("content")).when(F.col("summary") != "", F.col("summary"))
     staged = df.withColumn("_body", body.otherwise(F.col("title")))
     lengths = F.transform(extract_sentences("_body"), lambda s: F.size(words(s)).cast("double"))
-    staged = pin(staged, _lengths=lengths)
+    staged = pin(staged, _lengths=lengths, _words=F.size(words("_body")), _varied=has_more_letters("_body", 20))
     staged = pin(staged, _mean=total_of(F.col("_lengths")) / F.greatest(F.size("_lengths"), F.lit(1)))
-    word_count, sentence_count = F.size(words("_body")), F.size("_lengths")
+    word_count, sentence_count = F.col("_words"), F.size("_lengths")
     per_sentence = word_count / sentence_count
     score = F.least(
         F.when(per_sentence.between(10, 25), F.lit(0.4)).otherwise(F.lit(0.2))
-        + F.when(has_more_letters("_body", 20), F.lit(0.3)).otherwise(F.lit(0.1))
+        + F.when(F.col("_varied"), F.lit(0.3)).otherwise(F.lit(0.1))
         + length_variety("_lengths", "_mean") * F.lit(0.3),
         F.lit(1.0),
     )
     usable = (word_count > 0) & (sentence_count > 0)
-    return staged.withColumn(out, F.when(usable, score).otherwise(F.lit(0.0))).drop("_body", "_lengths", "_mean")
+    return staged.withColumn(out, F.when(usable, score).otherwise(F.lit(0.0))).drop("_body", "_lengths", "_words", "_varied", "_mean")
 
 
 def topical_relevance(as_of: datetime | str) -> Column:

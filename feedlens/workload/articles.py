@@ -265,6 +265,27 @@ def _lexicon(spark, sf_dir):
     )
 
 
+@query(
+    "normalize_time",
+    """SELECT event_id, strftime(ts::TIMESTAMP AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc FROM events""",
+)
+def _times(spark, sf_dir):
+    """The local times of the events, read as New York's, in UTC."""
+    rows = b.read(spark, sf_dir, "events")
+    return rows.select("event_id", F.date_format(conform.normalize_time("ts", "America/New_York"), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query(
+    "add_tags",
+    b.views("articles")
+    + """SELECT id, array_to_string(list_concat(tags, list_filter(['web', 'en', 'curated'], lambda t: NOT list_contains(tags, t))), ',') AS tags,
+           list_contains(tags, 'en') AS english FROM articles""",
+)
+def _added(spark, sf_dir):
+    tags = conform.add_tags("tags", [" Web", "EN", "", "curated"])
+    return b.articles(spark, sf_dir).select("id", F.array_join(tags, ",").alias("tags"), conform.has_tag("tags", " En ").alias("english"))
+
+
 # --- filters ----------------------------------------------------------------------------
 
 

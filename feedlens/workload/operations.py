@@ -166,19 +166,34 @@ rep AS (
   SELECT date_trunc('hour', ts) AS w, count(*) FILTER (WHERE op = 'get' AND hit) AS hits, count(*) FILTER (WHERE op = 'get' AND NOT hit) AS misses,
     count(*) FILTER (WHERE op = 'set') AS sets, count(*) FILTER (WHERE op = 'delete') AS deletes,
     CASE WHEN count(*) FILTER (WHERE op = 'get') = 0 THEN 0e0 ELSE count(*) FILTER (WHERE op = 'get' AND hit) * 100e0 / count(*) FILTER (WHERE op = 'get') END AS hit_rate,
-    count(*) FILTER (WHERE op <> 'error' AND duration_ms > 100) AS slow_operations, count(*) FILTER (WHERE op = 'error') AS error_count,
-    max(size_bytes) / 20000e0 AS memory_percent
+    count(*) FILTER (WHERE op <> 'error' AND duration_ms > 100) AS slow_operations, count(*) FILTER (WHERE op = 'error') AS error_count
   FROM access_log GROUP BY 1
 )"""
 
+#: Bytes that count as full in the hourly reports, so that the given log reaches the limits.
+HOURLY_MAX = 256 * 1024 * 1024
+_WITH_MEMORY = (
+    _REPORT.replace("rep AS", "plain AS", 1)
+    + f""",{_MEMORY},
+ends AS (SELECT date_trunc('hour', ts) AS w, arg_max(level, (ts, seq)) AS level FROM levels GROUP BY 1),
+rep AS (
+  SELECT plain.*, coalesce(last_value(level IGNORE NULLS) OVER (ORDER BY w), 0) / {HOURLY_MAX}e0 * 100 AS memory_percent
+  FROM plain LEFT JOIN ends USING (w))"""
+)
+
 
 def _hourly_stats(spark, sf_dir):
     log = b.access_log(spark, sf_dir)
-    report = accesslog.periodic_report(log, "1 hour")
-    size = log.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start")).agg(
-        (F.max("size_bytes") / 20000).alias("memory_percent")
-    )
-    return report.join(size, "window_start")
+    return accesslog.periodic_report(log, "1 hour").join(accesslog.memory_by_interval(log, HOURLY_MAX), "window_start")
+
+
+@query(
+    "memory_by_interval",
+    b.views("access_log", more=_WITH_MEMORY) + "SELECT strftime(w, '%Y-%m-%d %H') AS hour, round(memory_percent, 6) AS memory_percent FROM rep",
+)
+def _memory_hours(spark, sf_dir):
+    rows = accesslog.memory_by_interval(b.access_log(spark, sf_dir), HOURLY_MAX)
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), F.round("memory_percent", 6).alias("memory_percent"))
 
 
 @query(
@@ -196,7 +211,7 @@ def _periodic(spark, sf_dir):
 
 @query(
     "health_status",
-    b.views("access_log", more=_REPORT)
+    b.views("access_log", more=_WITH_MEMORY)
     + """SELECT strftime(w, '%Y-%m-%d %H') AS hour, CASE WHEN memory_percent > 95 THEN 'critical' WHEN hit_rate < 20 THEN 'degraded' ELSE 'healthy' END AS status,
          array_to_string(list_filter([CASE WHEN hit_rate < 50 THEN printf('低命中率: %.2f%%', hit_rate) END,
            CASE WHEN memory_percent > 80 THEN printf('高内存使用率: %.2f%%', memory_percent) END,
@@ -214,7 +229,7 @@ def _health(spark, sf_dir):
 
 @query(
     "threshold_alerts",
-    b.views("access_log", more=_REPORT)
+    b.views("access_log", more=_WITH_MEMORY)
     + """SELECT strftime(w, '%Y-%m-%d %H') AS hour, unnest(list_filter([CASE WHEN hit_rate < 20 THEN printf('warning:缓存命中率过低: %.2f%%', hit_rate) END,
            CASE WHEN memory_percent > 90 THEN (CASE WHEN memory_percent > 95 THEN 'critical' ELSE 'warning' END) || printf(':内存使用率过高: %.2f%%', memory_percent) END,
            CASE WHEN error_count > 4 THEN 'error:错误数量过多: ' || error_count END,
@@ -483,3 +498,16 @@ def _fingerprint(spark, sf_dir):
     return b.requests(spark, sf_dir).select(
         "request_id", query_fingerprint(F.lit("weekly"), params, "start_date").alias("fingerprint")
     )
+
+
+@query(
+    "refresh_ttl",
+    b.views("access_log")
+    + """SELECT key, least(86400000, greatest(60000, max(size_bytes))) AS ttl_ms, '2024-01-31 00:00:00' AS created,
+           strftime(TIMESTAMP '2024-01-31 00:00:00' + to_milliseconds(least(86400000, greatest(60000, max(size_bytes)))), '%Y-%m-%d %H:%M:%S') AS expiry
+         FROM access_log GROUP BY key""",
+)
+def _refreshed(spark, sf_dir):
+    asked = b.access_log(spark, sf_dir).groupBy("key").agg(F.max("size_bytes").alias("ttl_ms"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return retention.refresh_ttl(asked, b.AS_OF).select("key", "ttl_ms", stamp("created_at").alias("created"), stamp("expiry").alias("expiry"))

@@ -50,14 +50,15 @@ def _wrap(spark, sf_dir):
     "render_json_repositories",
     TOP30
     + """SELECT rank AS index, '{"description":"' || description || '","forks":' || forks || ',"fullName":"' || full_name || '","id":"' || id
-         || '","language":"' || language || '","name":"' || name || '","stars":' || stars || ',"updatedAt":"' || strftime(updated_at, '%Y-%m-%d %H:%M:%S')
+         || '","language":"' || language || '","name":"' || name || '","stars":' || stars || ',"trendScore":' || round(trend_score, 6) || ',"updatedAt":"' || strftime(updated_at, '%Y-%m-%d %H:%M:%S')
          || '","url":"' || url || '"}' AS text FROM ranked""",
 )
 def _json(spark, sf_dir):
     repos = _ranked(spark, sf_dir).rows["repositories"]
     rows = documents.render_items(repos, "repositories", RenderSettings(), b.REPO_AS_OF)
     # a trend score has as many digits as a double needs, which the two engines spell differently
-    return rows.withColumn("text", F.regexp_replace("text", r'"trendScore":[0-9.E-]+,', ""))
+    score = F.round(F.get_json_object("text", "$.trendScore").cast("double"), 6).cast("string")
+    return rows.withColumn("text", F.regexp_replace("text", F.lit('"trendScore":[0-9.E-]+,'), F.concat(F.lit('"trendScore":'), score, F.lit(","))))
 
 
 @query(
@@ -95,15 +96,24 @@ def _markdown(spark, sf_dir):
     return documents.render_items(articles, "articles", settings, b.AS_OF)
 
 
+_BATCHES = f"""
+texts AS (
+  SELECT *, array_to_string(list_filter(string_split_regex(replace(replace(title, '<', '&lt;'), '>', '&gt;'), '\\s+'), lambda x: x <> ''), ' ') AS shown,
+    0.5e0 AS relevance, {b.QUALITY_SQL} AS quality, row_number() OVER (ORDER BY lower(title), id, ingest_seq) - 1 AS position FROM articles),
+items AS (
+  SELECT position // 500 AS batch, position % 500 + 1 AS index, (position % 500 + 1) || '. ' || shown || ' (' || url || ') [' || source || ']'
+    || printf(' R:%.1f Q:%.1f', relevance * 100, quality * 100) || chr(10) || chr(10) AS text FROM texts)"""
+
+
 @query(
     "render_batches",
-    """SELECT CAST(range AS BIGINT) AS batch, least(500, (SELECT count(*) FROM documents) - range * 500) AS items
-       FROM range(CAST(ceil((SELECT count(*) FROM documents) / 500e0) AS BIGINT))""",
+    b.views("articles", more=_BATCHES)
+    + """SELECT batch, count(*) AS items, md5('ARTICLES (' || count(*) || ' items)' || chr(10) || 'Generated: 2024-01-31 00:00:00' || chr(10) || chr(10) || string_agg(text, '' ORDER BY index)) AS digest FROM items GROUP BY batch""",
 )
 def _batches(spark, sf_dir):
     rows = conform.to_articles(b.articles(spark, sf_dir), b.AS_OF)
     settings = RenderSettings(output="text", compact=True, sort_by="title", sort_order="asc")
-    return documents.render_batches(rows, "articles", settings, b.AS_OF).select("batch", "items")
+    return documents.render_batches(rows, "articles", settings, b.AS_OF).select("batch", "items", F.md5("body").alias("digest"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from feedlens.operators import conform, filters, ordering, personalize, readers,
 from feedlens.operators.dedup import dedup_repos
 from feedlens.operators.sequence import with_position
 from feedlens.plans.trending import trending_repos
+from feedlens.session import ensure_checkpoint_dir
 from feedlens.workload import bindings as b
 from feedlens.workload.registry import query
 
@@ -356,3 +359,37 @@ def _feeds(spark, sf_dir):
     repos = b.repositories(spark, sf_dir).withColumn("trend_score", scores.trend_score(b.REPO_AS_OF))
     feeds = readers.repository_feeds(repos, b.preferences(spark, sf_dir), id_col="ingest_seq")
     return feeds.select("reader_id", "rank", "id", "topic", F.round("trend_score", 6).alias("trend_score"))
+
+
+_PAGES = f"s AS (SELECT *, {b.TREND_SQL} AS trend_score FROM repositories)"
+
+
+def _page_index(spark, sf_dir):
+    repos = b.repositories(spark, sf_dir).withColumn("trend_score", scores.trend_score(b.REPO_AS_OF)).drop("metadata")
+    folder = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    return ordering.PageIndex.build(repos, ordering.order_for_render("repositories", "stars", "desc"), folder, block_rows=64)
+
+
+@query(
+    "pages_of_repositories",
+    b.views("repositories", more=_PAGES)
+    + """SELECT ingest_seq, round(trend_score, 6) AS trend_score, position FROM (
+           SELECT *, row_number() OVER (ORDER BY stars DESC, id, ingest_seq) AS position FROM s)
+         WHERE position BETWEEN 61 AND 90 OR position BETWEEN 151 AND 180""",
+)
+def _pages(spark, sf_dir):
+    """Two pages, the first of which lies in two blocks of the index."""
+    index = _page_index(spark, sf_dir)
+    rows = index.page(3, 30).rows.unionByName(index.page(6, 30).rows)
+    return rows.select("ingest_seq", F.round("trend_score", 6).alias("trend_score"), F.col("_position").alias("position"))
+
+
+@query(
+    "repository_page_totals",
+    b.views("repositories")
+    + """SELECT CAST(page AS BIGINT) AS current_page, CAST(30 AS BIGINT) AS page_size, total AS total_items, CAST(ceil(total / 30e0) AS BIGINT) AS total_pages,
+           page < ceil(total / 30e0) AS has_next, page > 1 AS has_prev FROM (SELECT count(*) AS total FROM repositories), (VALUES (1), (5000)) AS p(page)""",
+)
+def _page_totals(spark, sf_dir):
+    index = _page_index(spark, sf_dir)
+    return index.page(1, 30).info.unionByName(index.page(5000, 30).info)

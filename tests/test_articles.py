@@ -227,3 +227,17 @@ def test_repeated_rows_reach_no_result(spark):
     assert weekly_news(twice, as_of=NOW).rows["articles"].count() == 2
     twin = repos(spark, [dict(id="r", full_name="o/n", stars=50, ingest_seq=1)] * 3)
     assert trending_repos(twin, as_of=NOW, min_stars=1).rows["repositories"].count() == 1
+
+
+def test_page_index(spark, tmp_path):
+    rows = articles(spark, [dict(id=f"{i:03}", quality=i % 7 / 10, content="x") for i in range(95)])
+    order = [F.col("quality").desc(), F.col("id").asc()]
+    index = ordering.PageIndex.build(rows, order, str(tmp_path / "index"), block_rows=10)
+    for page, size in [(1, 20), (2, 7), (5, 20), (6, 20), (0, 0)]:
+        got, want = index.page(page, size), ordering.paginate(rows, order, page, size)
+        assert [r.id for r in got.rows.orderBy("_position").collect()] == [r.id for r in want.rows.collect()]
+        assert got.info.collect() == want.info.collect()
+    plan = index.page(2, 7).rows._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "PartitionFilters: [isnotnull" in plan
+    empty = ordering.PageIndex.build(rows.where("false"), order, str(tmp_path / "none"))
+    assert empty.page(1, 5).rows.count() == 0 and empty.page(1, 5).info.first().total_items == 0

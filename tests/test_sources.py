@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+from urllib.parse import urljoin, urlsplit
+
 from datetime import datetime
 
 import pytest
@@ -132,3 +136,22 @@ def test_cap(spark):
     rows = feeds.parse_rss(payload(spark, "http://e.com/rss", RSS))
     assert catalog.cap_per_source(rows, 1).count() == 1
     assert catalog.cap_per_source(rows, F.lit(0)).count() == 2
+
+
+def test_dotted_links_equal_the_standard_library(spark):
+    draw = random.Random(3)
+    part = lambda: draw.choice(["..", ".", "a", "b", "", "..."])
+    pairs = []
+    for _ in range(400):
+        base = draw.choice(["http://e.com", "https://E.com:8080", "ftp://h"]) + draw.choice(["", "/", "/" + "/".join(part() for _ in range(4))])
+        path = draw.choice(["", "/"]) + "/".join(part() for _ in range(draw.randrange(1, 6)))
+        link = draw.choice(["", "", "", "http:", "mailto:", "//other"]) + path + draw.choice(["", "?q=1", "#f", "?", "?a#b"])
+        if re.search(r"(^|[:/])\.\.?(/|$|[?#])", link):
+            pairs.append((base, link))
+    df = spark.createDataFrame(pairs, "b string, r string")
+    got = [r[0] for r in df.select(resolve_url("r", "b")).collect()]
+    want = [urljoin(b, r) for b, r in pairs]
+    dotted = [bool(re.search(r"(^|/)\.\.?(/|$)", urlsplit(r).path)) and "//other" not in r for _, r in pairs]
+    assert [(p, g) for p, g, d in zip(pairs, got, dotted) if d] == [(p, w) for p, w, d in zip(pairs, want, dotted) if d]
+    assert sum(dotted) > 150
+    assert "ArrowEvalPython" not in df.select(resolve_url("r", "b"))._jdf.queryExecution().toString()
