@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedlens import vocab
 from feedlens.functions.arrays import pin, total_of
 from feedlens.functions.scores import points, unit
-from feedlens.functions.text import UNICODE_SPACE, byte_len, col, plain_text, trim_space, words
+from feedlens.functions.text import UNICODE_SPACE, byte_len, col, plain_text, trim_space, word_count, words
 from feedlens.functions.times import is_recent
 
 
@@ -239,18 +239,18 @@ def readability(df: DataFrame, out: str = "readability") -> DataFrame:
     """Adds the readability of the content, else the summary, else the title."""
     body = F.when(F.col("content") != "", F.col("content")).when(F.col("summary") != "", F.col("summary"))
     staged = df.withColumn("_body", body.otherwise(F.col("title")))
-    lengths = F.transform(extract_sentences("_body"), lambda s: F.size(words(s)).cast("double"))
-    staged = pin(staged, _lengths=lengths, _words=F.size(words("_body")), _varied=has_more_letters("_body", 20))
+    lengths = F.transform(extract_sentences("_body"), lambda s: word_count(s).cast("double"))
+    staged = pin(staged, _lengths=lengths, _words=word_count("_body"), _varied=has_more_letters("_body", 20))
     staged = pin(staged, _mean=total_of(F.col("_lengths")) / F.greatest(F.size("_lengths"), F.lit(1)))
-    word_count, sentence_count = F.col("_words"), F.size("_lengths")
-    per_sentence = word_count / sentence_count
+    sentence_count = F.size("_lengths")
+    per_sentence = F.col("_words") / sentence_count
     score = F.least(
         F.when(per_sentence.between(10, 25), F.lit(0.4)).otherwise(F.lit(0.2))
         + F.when(F.col("_varied"), F.lit(0.3)).otherwise(F.lit(0.1))
         + length_variety("_lengths", "_mean") * F.lit(0.3),
         F.lit(1.0),
     )
-    usable = (word_count > 0) & (sentence_count > 0)
+    usable = (F.col("_words") > 0) & (sentence_count > 0)
     return staged.withColumn(out, F.when(usable, score).otherwise(F.lit(0.0))).drop("_body", "_lengths", "_words", "_varied", "_mean")
 
 
