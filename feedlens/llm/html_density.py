@@ -6,8 +6,9 @@ in it counts as one more child. The subtree with the largest
 sum leads to the article: the outermost article or main around it stays whole. Beside that stay
 other articles, and neighbours along the path to the body whose density reaches the least density
 of that path, furniture included. Without such an element everything along the path stays.
-Neighbours that are mostly links go. Page furniture is taken out before, by element or by the words
-of a class, id or role; the words never take out an element that holds the page's main or article.
+Neighbours that are mostly links go. Page furniture is taken out before, by element or by a name in a
+class, id or role. Within an article or main such names only take out comments, adverts and buttons to share; comments go
+unless nothing else is left, and no other name takes out an element that holds the page's main or article.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,7 @@ from feedlens.llm.batches import small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|title|textarea|iframe|svg|math|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|template|noscript|title|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
@@ -33,7 +35,9 @@ _TOKEN = re.compile(
 )
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr "
+    "math annotation mfenced mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics optgroup option svg circle defs ellipse g line path polygon polyline rect text tspan use".split()
 )
 #: Elements that hold a whole article.
 _WHOLE = frozenset(("article", "main"))
@@ -42,14 +46,19 @@ _DROPPED = frozenset("head nav footer aside form dialog menu input".split())
 #: Starting one of these ends an open element of the set beside it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("article aside body div footer form header main nav section table ul ol dl td th html".split())
+#: Controls and embedded things: they go without a break in the text around them.
+_SILENT = frozenset("button object select".split())
+#: A name in a class, id or role, whole or with one of these words around it.
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-list|consent|cookies?|disqus|footer|masthead|"
-    r"menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|"
-    r"social(?=$|\s|[_-](?:bar|block|box|buttons?|follow|icons?|links?|list|media|menu|nav|networks?|share|sharing|widget))|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|global|top|bottom|left|right)[_-])?"
+    r"(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|masthead|menu|nav|navbar|navigation|"
+    r"newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)"
+    r"(?:[_-](?:area|bar|block|box|buttons?|container|follow|form|header|icons?|inner|items?|links?|list|main|media|menu|nav|networks?|"
+    r"outer|panel|posts?|section|share|sharing|slot|thread|top|unit|widgets?|wrap|wrapper|\d+))*",
     re.I,
 )
-#: From such a word on, the name tells what stands beside the element or is missing.
-_MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*", re.I)
+#: Names that are no part of an article's text even within it.
+_FOREIGN = re.compile(r"^(?:\w+[_-])?(?:ads?|advert\w*|sponsor\w*|share|sharing|social|newsletter|subscribe|promo)(?:[_-]|$)", re.I)
 _READERS = re.compile(r"comment|disqus", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -60,10 +69,16 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.tags, self.link_tags = ["body"], [-1], [0], [0]
-        self.dropped, self.marked = [False], [0]  # marked: by class, 2 for readers' comments
+        self.dropped, self.marked, self.whole = [False], [0], [False]  # marked: see _mark; whole: in an article or main
         self.texts: list[tuple[int, str, bool]] = []  # element, text, inside a link
         self.breaks: list[int] = [0]  # element of each block change
         open_, links, at = [0], 0, 0
+        names: Counter[str] = Counter()  # of the open elements, so that a stray end tag looks for none
+
+        def close(k: int) -> None:
+            names.subtract(self.tag[e] for e in open_[k:])
+            del open_[k:]
+
         for m in _TOKEN.finditer(source):
             if m.start() > at:
                 self.texts.append((open_[-1], source[at : m.start()], links > 0))
@@ -85,65 +100,87 @@ class _Page:
                 continue
             links = 0
             if closing:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] == name:
-                        del open_[k:]
-                        break
-                self._cut(open_[-1])
+                if names[name] > 0:
+                    k = len(open_) - 1
+                    while self.tag[open_[k]] != name:
+                        k -= 1
+                    close(k)
+                if name not in _SILENT:
+                    self._cut(open_[-1])
                 continue
             if name in ("html", "body"):
-                del open_[1:]
+                close(1)
                 continue
+            if name in _SILENT:
+                self._open(name, rest, open_[-1], True)
+                open_.append(len(self.tag) - 1)
+                names[name] += 1
+                continue
+            while self.tag[open_[-1]] in _SILENT and name != "param":  # a block ends a control whose end tag is missing
+                close(len(open_) - 1)
             ends = _ENDS.get(name)
             for k in range(len(open_) - 1, 0, -1):
                 tag = self.tag[open_[k]]
                 if tag == "p" or (ends and tag in ends):
-                    del open_[k:]
+                    close(k)
                     if not ends or tag in ends:
                         break
                 elif tag in _SCOPE or tag not in _ENDS:
                     break
-            me = len(self.tag)
             up = open_[-1]
-            self.tag.append(name), self.parent.append(up), self.tags.append(1), self.link_tags.append(0)
-            inside = any(self.tag[k] in _WHOLE for k in open_)
-            self.dropped.append(self.dropped[up] or name in _DROPPED or (name == "header" and not inside))
-            self.marked.append(_is_furniture(name, rest))
+            self._open(name, rest, up, name in _DROPPED or (name == "header" and not self.whole[up]))
+            me = len(self.tag) - 1
             self._cut(me)
             if name not in _VOID and not rest.endswith("/"):
                 open_.append(me)
+                names[name] += 1
         if at < len(source):
             self.texts.append((open_[-1], source[at:], links > 0))
 
+    def _open(self, name: str, attributes: str, up: int, dropped: bool) -> None:
+        mark = _mark(name, attributes)
+        self.tag.append(name), self.parent.append(up), self.tags.append(1), self.link_tags.append(0)
+        self.dropped.append(self.dropped[up] or dropped)
+        self.marked.append(0 if mark == 1 and self.whole[up] else mark)
+        self.whole.append(self.whole[up] or name in _WHOLE)
+
     def _cut(self, element: int) -> None:
         self.texts.append((element, "\n", None))
 
 
-def _is_furniture(name: str, attributes: str) -> int:
-    """1 if the class, id or role names page furniture, 2 if readers' comments, else 0."""
+def _mark(name: str, attributes: str) -> int:
+    """1 if the class, id or role names page furniture, 2 readers' comments, 3 adverts and buttons to share, else 0."""
     if not attributes or name in _WHOLE:
         return 0
     for a, b, c in _ATTRIBUTE.findall(attributes):
-        if found := _FURNITURE.search(_MODIFIER.sub(" ", a or b or c or "")):
-            return 2 if _READERS.search(found[0]) else 1
+        for word in (a or b or c or "").split():
+            if _FURNITURE.fullmatch(word):
+                return 2 if _READERS.search(word) else 3 if _FOREIGN.search(word) else 1
     return 0
 
 
 def _drop_marked(page: _Page, texts: list[tuple[int, str, bool]]) -> None:
     """Drops the marked elements with all inside, but none around the article.
 
-    A mark gives way around the largest main (without one, the largest article), on pages without
-    either if it holds most of the text. It does so around any main or article of half the largest
-    one's text too, but for comments, since each is often an article.
+    Comments go, unless there is no other text. Another mark gives way around the largest main (without one, the largest article)
+    outside of comments, around any main or article of half its text, and on pages without either if it holds
+    most of the text.
     """
     n = len(page.tag)
-    chars, stands = [0] * n, page.marked.copy()
+    chars, stands, plain = [0] * n, page.marked.copy(), 0
+    readers, free = [False] * n, [True] * n
+    for e in range(1, n):
+        readers[e] = readers[page.parent[e]] or page.marked[e] == 2
+        free[e] = free[page.parent[e]] and not page.marked[e]
     for e, t, link in texts:
         if link is not None and not page.dropped[e] and not t.isspace():
             chars[e] += len(t) - t.count(" ")
+            plain += free[e]
+    if not plain:  # the page's own text lies in an element named like comments
+        readers, stands = [False] * n, [min(mark, 1) for mark in stands]
     for e in range(n - 1, 0, -1):
         chars[page.parent[e]] += chars[e]
-    whole = [e for e in range(n) if page.tag[e] in _WHOLE and chars[e]]
+    whole = [e for e in range(n) if page.tag[e] in _WHOLE and chars[e] and not readers[e]]
     largest = {tag: max((e for e in whole if page.tag[e] == tag), key=chars.__getitem__, default=-1) for tag in _WHOLE}
     first = largest["main"] if largest["main"] >= 0 else largest["article"]
     up = first
@@ -154,11 +191,9 @@ def _drop_marked(page: _Page, texts: list[tuple[int, str, bool]]) -> None:
         if chars[e] * 2 >= chars[largest[page.tag[e]]]:
             while e not in seen:
                 seen.add(e)
-                if stands[e] == 1:
-                    stands[e] = 0
-                e = page.parent[e]
+                stands[e], e = 0, page.parent[e]
     for e in range(1, n):
-        if first < 0 and chars[e] * 2 > chars[0]:
+        if first < 0 and stands[e] != 2 and chars[e] * 2 > chars[0]:
             stands[e] = 0
         page.dropped[e] = page.dropped[e] or stands[e] > 0 or page.dropped[page.parent[e]]
 
