@@ -164,6 +164,21 @@ def test_mixing_targets(spark):
     assert all(math.isclose(target[s], want[s], rel_tol=1e-12) and abs(taken[s] - want[s]) <= 60 for s in size)
 
 
+@pytest.mark.parametrize("shared", ["one id", "null ids", "equal rows"])
+def test_mixing_targets_with_shared_ids(spark, shared):
+    """Half the rows of each source share an id, or all are null, or equal: taken words stay near the target."""
+    name = {"one id": lambda i, s: 10_000 + ord(s) if i % 2 else i, "null ids": lambda i, s: None, "equal rows": lambda i, s: ord(s)}[shared]
+    text = lambda i: " ".join(["w"] * 10 if shared == "equal rows" else [f"w{i}"] * 10)
+    rows = [(name(3 * i + k, s), text(3 * i + k), s) for i in range(400) for k, s in enumerate("abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).checkpoint()
+    taken = {}
+    for r in mixed_sizes(docs).collect():
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert len(taken) == 3 and all(abs(t - want) <= 10 for want, t in taken.items())
+    copies = mixed(docs).groupBy("source").agg(F.sum(F.lit(10)).alias("n")).collect()
+    assert sorted(r.n for r in copies) == sorted(taken.values())
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id long, v int, shard int, dim int")
 
@@ -366,6 +381,46 @@ def test_html_marked_parts():
     assert main_text(article + comments + related + social).split("\n") == texts + more
 
 
+def test_html_names_within_an_article():
+    """A class word in a longer name, or of a part of the article, is no furniture."""
+    parts = ["<p class='related-work'>work</p>", "<div class='notice-period'>period</div>", "<h2 class='section-banner'>head</h2>", "<div class='menu'>soup</div>"]
+    page = "<article><p>" + "a" * 300 + "</p>" + "".join(parts) + "<div class=ad>buy</div><div class='share-buttons'>share</div></article>"
+    assert main_text(page).split("\n") == ["a" * 300, "work", "period", "head", "soup"]
+
+
+def test_html_comments_never_win():
+    own, foreign = "<p>" + "a" * 300 + "</p>", "<article><p>" + "c" * 1200 + "</p></article>"
+    for page in (
+        f"<article>{own}</article><section id=comments>{foreign}</section>",
+        f"<div id=content>{own}</div><div class='comments'>{foreign}</div>",
+        f"<div id=content>{own}</div><div class='comments'><p>{'c' * 1200}</p></div>",
+        f"<main>{own}<div class='comment-list'>{foreign}</div></main>",
+    ):
+        assert main_text(page) == "a" * 300
+
+
+def test_html_formulas_and_open_controls():
+    formula = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>drawn</text></svg>"
+    assert main_text(f"<article>{formula}</article>").split("\n") == ["so x=2 holds", "drawn"]
+    for control in ("<button>go", "<select><option>one<option>two", "<object data=x>no"):
+        assert main_text(f"<article><p>a {control}</p><p>b</p></article>").split("\n") == ["a", "b"]
+        assert main_text(f"<div>a{control}<p>rest of it</p></div>").split("\n") == ["a", "rest of it"]
+    assert main_text("<p>a <button>x</button>b <select><option>1</select>c</p>") == "a b c"
+
+
+def test_html_time_grows_with_the_page():
+    """Nested and unmatched tags: ten times the tags take about ten times as long."""
+    import time
+
+    def took(n: int) -> float:
+        started = time.perf_counter()
+        assert main_text("<div>" * n + "deep" + "</span></section>" * n) == "deep"
+        return time.perf_counter() - started
+
+    took(1000)
+    assert took(100_000) < 20 and took(100_000) < 40 * max(took(10_000), 0.05)
+
+
 def test_html_two_articles():
     long, short = paragraphs(5, 300, "a"), paragraphs(2, 60, "b")
     page = "<div>{}</div><div><a href=x>one link</a></div><div>{}</div>".format(
