@@ -44,6 +44,10 @@ least AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id)
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM least LEFT JOIN sizes ON doc_id = id"""
 
 
+#: per span of ``spans``, comma-joined: in how many rows, repositories and owners its value occurs, and the verdict
+_SPREAD = ["documents", "repositories", "owners", "verdict"]
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = secret_scan(_documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -52,6 +56,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(kind[0]) for kind in secrets.BASE],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.col("found")).alias("spans"),
+        *[F.array_join(F.col(f"found.{name}").cast("array<string>"), ",").alias(name) for name in _SPREAD],
     )
 
 
@@ -73,7 +78,8 @@ def _span_sql(kind: str, pattern: str, group: int, least: int) -> str:
 
 _NAMES = "['assign', 'access', 'hex', 'opaque'][k + 1]"
 OP2_SQL = f"""WITH texts AS (
-  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner FROM documents),
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner,
+    coalesce(lang, chr(0)) AS lang FROM documents),
 base AS (
   {"\n  UNION ALL\n  ".join(_span_sql(*kind) for kind in secrets.BASE)}),
 opaque AS (
@@ -83,16 +89,24 @@ clear AS (
   SELECT * FROM opaque o WHERE NOT EXISTS (
     SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.s < o.s + o.n AND o.s < b.s + b.n)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM clear),
-owners AS (SELECT value, count(DISTINCT owner) AS c FROM every JOIN texts USING (doc_id) GROUP BY value),
+counted AS (
+  SELECT value, count(DISTINCT doc_id) AS d, count(DISTINCT (owner, lang)) AS r, count(DISTINCT owner) AS c
+  FROM every JOIN texts USING (doc_id) GROUP BY value),
+judged AS (
+  SELECT *, CASE WHEN c >= 3 OR (c > 1 AND r >= 6) THEN 'example' WHEN c = 1 THEN 'live' ELSE 'shared' END AS verdict FROM counted),
 found AS (
-  SELECT doc_id, string_agg({_NAMES} || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans
-  FROM every JOIN owners USING (value) WHERE k < 3 OR c = 1 GROUP BY doc_id),
+  SELECT doc_id, string_agg({_NAMES} || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans,
+    string_agg(d, ',' ORDER BY s, k) AS documents, string_agg(r, ',' ORDER BY s, k) AS repositories,
+    string_agg(c, ',' ORDER BY s, k) AS owners, string_agg(verdict, ',' ORDER BY s, k) AS verdict
+  FROM every JOIN judged USING (value) WHERE k < 3 OR verdict = 'live' GROUP BY doc_id),
 told AS (
   SELECT doc_id, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS c,
     string_agg({_NAMES} || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans
   FROM base GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
-  sha256(coalesce(told.spans, '')) AS base_sha256, coalesce(found.spans, '') AS spans
+  sha256(coalesce(told.spans, '')) AS base_sha256, coalesce(found.spans, '') AS spans,
+  coalesce(documents, '') AS documents, coalesce(repositories, '') AS repositories, coalesce(owners, '') AS owners,
+  coalesce(verdict, '') AS verdict
 FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from feedlens.llm.html_density import extract_main_text, main_text
 from feedlens.llm.jaccard_join import ngram_jaccard_join
 from feedlens.llm.mixing import mixed, mixed_sizes
 from feedlens.llm.quality_qda import quality_scores
-from feedlens.llm.secrets import redact, secret_scan, spans_text
+from feedlens.llm.secrets import BASE, KINDS, OPAQUE, redact, secret_scan, spans_text
 from feedlens.llm.toxicity import Distances, toxicity_scores
 from feedlens.llm.vp_tree import nearest_neighbours
 
@@ -124,6 +125,58 @@ def test_secrets(spark, hard):
     assert redact(docs, scan).count() == docs.count() and redact(docs, scan).columns == docs.columns
 
 
+def test_secrets_of_one_text_by_brute_force(spark):
+    """Positions, overlaps, counts and cuts next to a plain scan, over block borders and characters of several bytes."""
+    rng = np.random.default_rng(7)
+    parts = ["é" * 40, "password=hunter22", "token: abc", "AKIA" + "Q7" * 9, "0a" * 15, "Zx9" * 12, "Zx9" * 12 + "AKIA" + "Z" * 20, "\U0001f600\n"]
+    parts += ["secret=" + "ab12" * 8, "api_key='" + "f" * 30 + "'", "x" * 700]
+    texts = [" ".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in (0, 1, 5, 60, 400)] * 2
+    docs = spark.createDataFrame([(i, t, f"l{i}", f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    base, uses = {}, {}
+    for i, text in enumerate(texts):
+        spans = [
+            (m.start(), k, m.end(), m.group(group))
+            for k, (_, pattern, group, least) in enumerate(BASE)
+            for m in re.finditer(pattern, text)
+            if len(m.group(group)) >= least
+        ]
+        base[i] = sorted(spans)
+        free = [(m.start(), 3, m.end(), m.group()) for m in re.finditer(OPAQUE, text) if all(re.search(c, m.group()) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+        for span in spans + [o for o in free if not any(s < o[2] and o[0] < e for s, _, e, _ in spans)]:
+            uses.setdefault(span[3], []).append((i, span))
+    scan = secret_scan(docs).cache()
+    for r in scan.collect():
+        found = sorted((*span[:3], value) for value, all_ in uses.items() for i, span in all_ if i == r.doc_id)
+        names = [(s, KINDS[k], e) for s, k, e, _ in base[r.doc_id]]
+        assert [(s.start, s.kind, s.end) for s in r.base] == names
+        told = {(s.start, s.kind): (s.uses, s.documents, s.repositories, s.owners) for s in r.found}
+        for s, k, _, value in found:
+            rows = {i for i, _ in uses[value]}
+            owners = len({i % 3 for i in rows})
+            if k < 3 or owners == 1:
+                assert told.pop((s, KINDS[k])) == (len(uses[value]), len(rows), len(rows), owners)
+        assert not told
+    cut = {r.doc_id: r.text for r in redact(docs, scan).collect()}
+    hidden = {r.doc_id: [(s.start, s.end) for s in r.found if s.verdict != "example"] for r in scan.collect()}
+    for i, text in enumerate(texts):
+        out, at = [], 0
+        for start, end in hidden[i]:
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert cut[i] == "".join(out) + text[at:]
+
+
+def test_secrets_many_in_one_text(spark):
+    text = " ".join(f"token=hunter{i:06d}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text, "en", "x")], "doc_id long, text string, lang string, source string")
+    begun = time.time()
+    scan = secret_scan(docs)
+    assert scan.select(F.size("base")).first()[0] == 100_000
+    assert redact(docs, scan).first().text == " ".join(["[SECRET]"] * 100_000)
+    assert time.time() - begun < 120
+
+
 def test_mixing(spark, hard):
     rows = {}
     for r in mixed_sizes(hard).collect():
