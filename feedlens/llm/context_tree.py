@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from feedlens.session import ensure_checkpoint_dir
 
 _END = 10
 _WORD, _GRAM = 0, 1
+#: bytes of the texts whose grams are fetched together
+_CHUNK = 1 << 22
 
 
 def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -257,9 +260,10 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.
 
 
 def _score(depth: int, head, model, spell: bool):
-    """Per row what the broadcast tables tell, and the words (and grams) left to join."""
+    """Per row what the broadcast tables tell, and the words (and the text, by chunk) left to join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
@@ -274,15 +278,16 @@ def _score(depth: int, head, model, spell: bool):
                 rest = pa.ListArray.from_arrays(
                     np.append(0, np.cumsum(np.bincount(rows[~known], minlength=size))).astype(np.int32), pa.array(keys[~known])
                 )
-                pieces = grams(text, bounds, depth)
                 if spell:
-                    p, left = np.zeros(size), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(pieces))
+                    if filled and filled + len(text) > _CHUNK:
+                        chunk, filled = chunk + 1, 0
+                    filled += len(text)
+                    raw = text.tobytes()
+                    p = np.zeros(size)
+                    left = pa.array([raw[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
                 else:
-                    distinct, inverse = np.unique(pieces, return_inverse=True)
-                    value, _ = _lookup(model.value, distinct)
-                    sums = np.append(0, np.cumsum(value[inverse]))
-                    p = sums[bounds[1:]] - sums[bounds[:-1]]
-                    left = pa.array([None] * size, pa.list_(pa.int64()))
+                    p = _spelled(model.value, text, bounds, depth)
+                    left = pa.nulls(size, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(a, size),
@@ -293,13 +298,57 @@ def _score(depth: int, head, model, spell: bool):
                         pa.array(p),
                         rest,
                         left,
+                        pa.array(np.full(size, chunk, np.int64)),
                     ],
-                    ["id", "words", "known", "logs", "bytes", "p", "rest", "left"],
+                    ["id", "words", "known", "logs", "bytes", "p", "rest", "left", "chunk"],
                 )
 
     return run
 
 
+def _spelled(table: tuple[np.ndarray, np.ndarray], text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+    """The sum of the table's values over the grams of each text."""
+    distinct, inverse = np.unique(grams(text, bounds, depth), return_inverse=True)
+    value, _ = _lookup(table, distinct)
+    sums = np.append(0, np.cumsum(value[inverse]))
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def _joined_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and the offset of each value (one more than values)."""
+    values = column.to_pylist()
+    bounds = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int64)
+    return np.frombuffer(b"".join(values), np.uint8), bounds
+
+
+def _asked(depth: int):
+    """(chunk, key): the distinct grams of each chunk, once for every batch that holds a part of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])) if len(chunks) else np.zeros(0, np.int64)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(chunks)], strict=True):
+                keys = np.unique(grams(*_joined_bytes(batch.column("left").slice(start, end - start)), depth))
+                for at in range(0, len(keys), 1 << 17):
+                    part = keys[at : at + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunks[start])), pa.array(part)], ["chunk", "key"])
+
+    return run
+
+
+def _answered(depth: int):
+    """The rows of one chunk with what its grams give."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        key, p = found["key"].to_numpy(), found["p"].to_numpy()
+        order = np.argsort(key)
+        text, bounds = _joined_bytes(texts["left"])
+        return pa.table({"row": texts["row"], "spelled": _spelled((key[order], p[order]), text, bounds, depth)})
+
+    return run
+
+
 def context_tree_scores(
     docs: DataFrame,
     learn: Column,
@@ -317,7 +366,7 @@ def context_tree_scores(
     of training tokens; ``n_known`` tokens have c > 0.
 
     The probabilities of the corpus's grams are broadcast up to ``broadcast_grams`` rows and
-    joined beyond; the counts of the ``head_words`` most frequent words are broadcast, those of
+    joined beyond, once for each gram of a chunk of texts (4 MB, a longer text by itself); the counts of the ``head_words`` most frequent words are broadcast, those of
     the others joined. Words are compared by 64-bit hashes. A null text is empty: one end token.
     Rows with a null ``learn`` are not learned from. Without training texts every bit costs one
     half. Repeated rows are learned from and scored each; an empty table gives no rows; other
@@ -356,20 +405,21 @@ def context_tree_scores(
         order = np.argsort(whole["key"].to_numpy())
         table = whole["key"].to_numpy()[order], whole["p"].to_numpy()[order]
     head = spark.sparkContext.broadcast(_head_words(words, head_words))
-    shape = "id long, words long, known long, logs double, bytes long, p double, rest array<long>, left array<long>"
+    shape = "id long, words long, known long, logs double, bytes long, p double, rest array<long>, left binary, chunk long"
     scored = rows.mapInArrow(_score(depth, head, spark.sparkContext.broadcast(table), spell), shape)
     scored = scored.withColumn("row", F.monotonically_increasing_id()).checkpoint()
 
-    def joined(column: str, values: DataFrame, value: Column, name: str) -> DataFrame:
-        keys = scored.select("row", F.explode(column).alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-        return keys.join(values, "key", "left").groupBy("row").agg(
-            F.sum(F.col("times") * value).alias(name), F.sum(F.when(value.isNotNull(), F.col("times"))).alias(f"{name}_n")
-        )
-
-    rare = joined("rest", words, F.log10(F.col("n") + 0.1), "rare")
+    keys = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
+    counted_in = keys.join(words, "key", "left").groupBy("row")
+    rare = counted_in.agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_n")
+    )
     out = scored.join(rare, "row", "left")
     if spell:
-        out = out.join(joined("left", model, F.col("p"), "spelled"), "row", "left").withColumn("p", F.coalesce("spelled", F.lit(0.0)))
+        texts = scored.select("chunk", "row", "left")
+        found = texts.select("chunk", "left").mapInArrow(_asked(depth), "chunk long, key long").join(model, "key")
+        told = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_answered(depth), "row long, spelled double")
+        out = out.join(told, "row", "left").withColumn("p", F.coalesce("spelled", F.lit(0.0)))
     nothing = F.coalesce(F.col("rare_n"), F.lit(0))
     unknown = F.col("words") - F.col("known") - nothing
     tokens = F.col("words") + 1
