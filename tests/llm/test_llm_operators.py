@@ -52,6 +52,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_components_of_stars_and_random_edges(spark):
+    draw = random.Random(5)
+    edges = [(0, k) for k in range(1, 4000)] + [(9000 + k, 8999) for k in range(1, 3000)]
+    edges += [(draw.randrange(20_000, 24_000), draw.randrange(20_000, 24_000)) for _ in range(3000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = components(spark.createDataFrame(edges, "x long, y long").repartition(7)).collect()
+    assert {r.id: r.root for r in got} == {x: find(x) for x in list(root) if find(x) != x} and len(got) == len({r.id for r in got})
+
+
 def brute_groups(rows: list[tuple[int, str]], percent: int) -> dict[int, int]:
     sets = {}
     for i, text in rows:
