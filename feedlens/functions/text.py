@@ -7,14 +7,13 @@ out because Java's ``\\s`` also holds the vertical tab.
 
 from __future__ import annotations
 
-import html as html_entities
+import html
 from collections.abc import Iterable
 from functools import cache
+from html import entities
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from feedlens import vocab
 
@@ -103,18 +102,86 @@ def basic_entities(c: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """Decodes HTML entities. Rows without "&" reach the Arrow function as NULL."""
-    value = col(c)
-    return F.coalesce(_decoder()(F.when(F.contains(value, F.lit("&")), value)), value)
+    """Decodes HTML entities as HTML 5 does: names with ";", the old names also without, and numbers.
+
+    The text is cut at "&" and the start of each piece is read as a reference. Unknown names stay.
+    """
+
+    def pieces(value: Column) -> Column:
+        decoded = F.transform(F.split(value, "&"), lambda p, i: F.when(i == 0, p).otherwise(_referenced(p)))
+        return F.when(F.contains(value, F.lit("&")), F.array_join(decoded, "")).otherwise(value)
+
+    return _once(col(c), pieces)
+
+
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_LOST = "\ufffd"
 
 
 @cache
-def _decoder():
-    # a local function travels to the executors by value, so they need no copy of this package
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(html_entities.unescape, na_action="ignore")
+def _entity_tables() -> tuple[str, str, str]:
+    """Names with their characters, a pattern of the names that need no ";", characters of the numbers below 160.
+
+    The tables are single strings: as maps or arrays they would make each task thousands of objects larger.
+    """
+    old = sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True)
+    # a search reads from the front, so the old names, which are most in use, come first
+    names = sorted(entities.html5, key=lambda n: (n.rstrip(";") not in old, n))
+    pairs = "\x1f" + "".join(f"{n}\x1e{entities.html5[n]}\x1f" for n in names)
+    return pairs, f"^({'|'.join(old)})", "".join(html.unescape(f"&#{n};") or "\x1f" for n in range(160))
+
+
+def _referenced(piece: Column) -> Column:
+    """What "&" and the text behind it, up to the next "&", stand for."""
+
+    def replaced(name: Column) -> Column:
+        character = F.when(name == "", "&").when(F.startswith(name, F.lit("#")), _numbered(name)).otherwise(_named(name))
+        return F.concat(character, F.substring(piece, F.char_length(name) + 1, F.char_length(piece)))
+
+    return _once(F.regexp_extract(piece, _REFERENCE, 1), replaced)
+
+
+def _known(name: Column) -> Column:
+    """The characters of a name, NULL for one that is none."""
+    pairs = F.lit(_entity_tables()[0])
+    place = F.position(F.concat(F.lit("\x1f"), name, F.lit("\x1e")), pairs)
 
-    return F.pandas_udf(decode, StringType())
+    def behind(at: Column) -> Column:
+        value = F.substring(pairs, at + F.char_length(name) + 2, F.lit(8))
+        return F.when(at > 0, F.substring_index(value, "\x1f", 1))
+
+    return _once(place, behind)
+
+
+def _named(name: Column) -> Column:
+    def by_start(start: Column) -> Column:
+        rest = F.substring(name, F.char_length(start) + 1, F.char_length(name))
+        return F.when(start == "", F.concat(F.lit("&"), name)).otherwise(F.concat(_known(start), rest))
+
+    return F.coalesce(_known(name), _once(F.regexp_extract(name, _entity_tables()[1], 1), by_start))
+
+
+def _numbered(name: Column) -> Column:
+    sixteen = F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]*)", 1)
+    ten = F.regexp_extract(name, "^#0*([0-9]*)", 1)
+    code = F.when(
+        name.rlike("^#[xX]"),
+        F.when(F.char_length(sixteen) <= 6, F.conv(F.concat(F.lit("0"), sixteen), 16, 10).cast("long")),
+    ).when(F.char_length(ten) <= 7, F.concat(F.lit("0"), ten).cast("long"))
+
+    def character(n: Column) -> Column:
+        low = F.replace(F.substring(F.lit(_entity_tables()[2]), n.cast("int") + 1, F.lit(1)), F.lit("\x1f"), F.lit(""))
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return (
+            F.when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), _LOST)
+            .when(n < 160, low)
+            .when(none, "")
+            .when(n == 0xFEFF, "\ufeff")  # the decoder would take it as a byte order mark
+            .otherwise(wide)
+        )
+
+    return _once(code, character)
 
 
 def markup_to_text(c: Column | str) -> Column:
@@ -136,10 +203,13 @@ def drop_scripts(c: Column | str, dotall: bool = False) -> Column:
 
 def valid_utf8(c: Column | str) -> Column:
     """Drops invalid byte sequences."""
-    value = col(c)
-    return F.when(F.is_valid_utf8(value), value).otherwise(
-        F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit(""))
-    )
+
+    def valid(value: Column) -> Column:
+        return F.when(F.is_valid_utf8(value), value).otherwise(
+            F.replace(F.make_valid_utf8(value), F.lit("\ufffd"), F.lit(""))
+        )
+
+    return _once(col(c), valid)
 
 
 def tidy_text(c: Column | str) -> Column:
@@ -149,7 +219,7 @@ def tidy_text(c: Column | str) -> Column:
 
 def tidy_title(c: Column | str, limit: int = 500) -> Column:
     """Titles decode entities before tags are stripped."""
-    return trim_space(shorten(collapse_space(strip_tags(drop_scripts(unescape(c)))), limit))
+    return trim_space(_once(collapse_space(strip_tags(drop_scripts(unescape(c)))), lambda t: shorten(t, limit)))
 
 
 def tidy_content(c: Column | str, limit: int | None = 50000, dotall: bool = False) -> Column:
@@ -158,7 +228,7 @@ def tidy_content(c: Column | str, limit: int | None = 50000, dotall: bool = Fals
     stripped = unescape(strip_tags(drop_scripts(c, dotall)))
     printable = F.regexp_replace(stripped, r"[\p{Cc}&&[^\t\n\r]]", "")
     whole = collapse_space(printable)
-    return trim_space(whole if limit is None else shorten(whole, limit))
+    return trim_space(whole if limit is None else _once(whole, lambda t: shorten(t, limit)))
 
 
 def plain_text(c: Column | str) -> Column:
@@ -199,8 +269,8 @@ def _once(value: Column, use) -> Column:
 def first_paragraph(c: Column | str) -> Column:
     """The first paragraph that still has 31 to 500 bytes once cleaned, else a 200-byte start.
 
-    Arrow functions cannot run inside an array lambda, so tags go paragraph by paragraph, then the
-    joined paragraphs are decoded once and taken apart again. No paragraph holds the separator.
+    Tags go paragraph by paragraph, then the joined paragraphs are decoded once and taken apart
+    again. No paragraph holds the separator.
     """
     value = col(c)
     apart = F.lit("\x1f")

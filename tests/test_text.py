@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import html
+import random
+from html import entities
+
 import pytest
 
 from feedlens.functions import text as tx
@@ -131,3 +135,14 @@ def test_timestamps(values):
     ]
     assert str(times.since_date("2024-03-31", "monthly")) == "2024-03-02"
     assert str(times.since_date("2024-03-31", "daily")) == "2024-03-30"
+
+
+def test_unescape_equals_the_html_rules(spark):
+    rng = random.Random(5)
+    pieces = ["&", "&amp", "&amp;", "&notit;", "&notin;", "&no", "&#", "&#x", "&#x;", "&#0;", "&#xfeff;", "&#65279", "&#x1F600;", "x", ";", "#", "é", "😀", " ", "<"]
+    pieces += ["&#38;lt;", "&#00000000065;", "&#x0000000041", "&#55296;", "&#xFDD0;", "&#x1FFFE;", "&#1114112;", "&#99999999999999999999;", "&#128;", "&#x9F", "&" + "y" * 40 + ";"]
+    texts = [f"a&{n}b&{n.rstrip(';')}" for n in entities.html5] + [f"&#{n};&#x{n:x}" for n in [*range(300), 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x10FFFF]]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", tx.unescape("t").alias("got"))
+    assert [(r.t, r.got) for r in rows.collect() if r.got != (None if r.t is None else html.unescape(r.t))] == []
+    assert "Python" not in rows._jdf.queryExecution().toString()
