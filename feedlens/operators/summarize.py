@@ -7,11 +7,19 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens import vocab
 from feedlens.functions.arrays import pin, total_of
 from feedlens.functions.scores import points, unit
 from feedlens.functions.text import UNICODE_SPACE, byte_len, col, plain_text, trim_space, word_count, words
 from feedlens.functions.times import is_recent
+from feedlens.operators.tally import (
+    COUNTS,
+    SENTENCES,
+    by_document,
+    in_id_order,
+    read_keywords,
+    read_sentences,
+    spaced,
+)
 
 
 def extract_sentences(c: Column | str) -> Column:
@@ -20,32 +28,15 @@ def extract_sentences(c: Column | str) -> Column:
     return F.filter(parts, lambda s: byte_len(s) > 10)
 
 
-def bare_word(c: Column | str) -> Column:
-    """A word without its outer punctuation."""
-    return F.btrim(col(c), F.lit(vocab.WORD_TRIM_CHARS))
-
-
-def _is_candidate(word: str) -> Column:
-    return (byte_len(word) >= 3) & ~F.col(word).isin(vocab.SUMMARY_STOP_WORDS)
-
-
-def _is_keyword(word: str, uses: Column) -> Column:
-    """Words that repeat, or have more than six bytes."""
-    return (uses > 1) | ((uses == 1) & (byte_len(word) > 6))
+def keyword_counts(docs: DataFrame, column: str = "content") -> DataFrame:
+    """(id, words): the keywords of each document with their uses, a row for each document that has any."""
+    placed = in_id_order(docs.select("id", column))
+    return by_document(placed, spaced(column, f"{UNICODE_SPACE}+"), read_keywords, f"words {COUNTS}")
 
 
 def extract_keywords(docs: DataFrame, column: str = "content") -> DataFrame:
     """(id, keyword, count) of each document."""
-    return (
-        docs.select("id", column)
-        .repartition("id")
-        .select("id", F.explode_outer(F.split(F.lower(column), f"{UNICODE_SPACE}+")).alias("_raw"))
-        .select("id", bare_word("_raw").alias("keyword"))
-        .where(_is_candidate("keyword"))
-        .groupBy("id", "keyword")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .where(_is_keyword("keyword", F.col("count")))
-    )
+    return keyword_counts(docs, column).select("id", F.inline("words").alias("keyword", "count"))
 
 
 def length_score(sentence: Column | str) -> Column:
@@ -70,47 +61,26 @@ def score_sentences(
 ) -> DataFrame:
     """(id, position, length, score) of each sentence.
 
-    A sentence word counts when it is a keyword of the whole text. The text itself takes part
-    as place -1 next to its sentences, so one pass over the words gives both the candidates
-    and their uses. Everything is grouped by id first, and rows are shuffled by id only.
+    A sentence word counts when it is a keyword of the whole text. A document is read at once,
+    so its words are neither shuffled nor kept in a table; rows are shuffled by id only.
     """
-    whole = F.struct(F.lit(-1).alias("place"), F.col(column).alias("part"))
-    parts = F.transform(extract_sentences(column), lambda s, i: F.struct(i.alias("place"), s.alias("part")))
-    placed = docs.select("id", column).repartition("id")
-    spoken = (
-        placed.select("id", F.explode_outer(F.concat(F.array(whole), parts)).alias("p"))
-        .select("id", "p.place", F.char_length("p.part").alias("length"), F.lower("p.part").alias("part"))
-        .select("id", "place", "length", F.explode_outer(F.split("part", f"{UNICODE_SPACE}+")).alias("raw"))
-        .where(F.col("raw") != "")
-        .withColumn("word", F.when(F.col("place") < 0, bare_word("raw")).otherwise(F.col("raw")))
-        .where((F.col("place") >= 0) | _is_candidate("word"))
-        .groupBy("id", "word", "place")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
-    )
-    uses = F.sum(F.when(F.col("place") < 0, F.col("n")).otherwise(0)).over(Window.partitionBy("id", "word"))
-    per_part = (
-        spoken.withColumn("keyword", _is_keyword("word", uses))
-        .groupBy("id", "place")
-        .agg(
-            F.sum(F.when(F.col("keyword"), F.col("n")).otherwise(0)).alias("hits"),
-            F.sum("n").alias("total"),
-            F.max("keyword").alias("keyword"),
-            F.max("length").cast("long").alias("length"),
-        )
+    parts = F.transform(
+        extract_sentences(column),
+        lambda s, i: F.struct(
+            i.alias("place"), F.char_length(s).alias("length"), spaced(s, f"{UNICODE_SPACE}+").alias("text")
+        ),
     )
-    document = Window.partitionBy("id")
-    n = F.count_if(F.col("place") >= 0).over(document).cast("double")
-    has_keywords = F.max(F.col("keyword") & (F.col("place") < 0)).over(document)
-    share = F.when(has_keywords, F.col("hits") / F.col("total")).otherwise(F.lit(0.5))
+    texts = F.struct(spaced(column, f"{UNICODE_SPACE}+").alias("whole"), parts.alias("parts"))
+    counted = by_document(in_id_order(docs.select("id", column)), texts, read_sentences, SENTENCES)
+    per_part = counted.select("id", "has_keywords", F.size("sentences").alias("n"), F.inline("sentences"))
+    share = F.when(F.col("has_keywords"), F.col("hits") / F.col("total")).otherwise(F.lit(0.5))
     score = (
-        (F.lit(1.0) - F.col("place").cast("double") / n) * F.lit(position_weight)
+        (F.lit(1.0) - F.col("place").cast("double") / F.col("n")) * F.lit(position_weight)
         + _length_points(F.col("length")) * F.lit(length_weight)
         + share * F.lit(keyword_weight)
     )
-    return (
-        per_part.withColumn("score", score)
-        .where(F.col("place") >= 0)
-        .select("id", F.col("place").cast("long").alias("position"), "length", "score")
+    return per_part.select(
+        "id", F.col("place").cast("long").alias("position"), F.col("length").cast("long"), score.alias("score")
     )
 
 
