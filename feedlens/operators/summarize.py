@@ -145,7 +145,9 @@ def summarize(
         .when(count <= sentences, F.array_join("_sentences", " "))
         .otherwise(fit_length(F.array_join(picked, " "), max_bytes))
     )
-    joined = cleaned.join(chosen, "id", "left")
+    # the text is shuffled once more as it came, and cleaned again rather than shuffled three times
+    joined = pin(docs.join(chosen, "id", "left"), _clean=plain_text(column))
+    joined = pin(joined, _sentences=extract_sentences("_clean"))
     return pin(joined, generated_summary=summary, summary_error=error).drop("_clean", "_sentences", "places")
 
 

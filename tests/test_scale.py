@@ -39,3 +39,10 @@ def test_sentences_are_scored_without_rows_of_words(spark):
         ("a", 1): (31, round(0.15 + 0.7 * 0.2 + 0.5 * 2 / 9, 6)),
         (None, 0): (41, round(0.3 + 0.7 * 0.2 + 0.5 * 3 / 9, 6)),
     }
+
+
+def test_summaries_do_not_shuffle_the_made_texts(spark):
+    made = summarize.summarize(docs(spark))
+    below = plan(made).split("Join", 1)[1]
+    assert below.count("Generate explode") <= 2  # those of the scored texts; none for the rows of the table
+    assert made.count() == len(TEXTS)
