@@ -260,15 +260,9 @@ def fill_summaries(df: DataFrame) -> DataFrame:
 
 def fill_tags(df: DataFrame, n: int = 5) -> DataFrame:
     """Untagged articles get their ``n`` most frequent keywords, ties in word order."""
-    words_of = extract_keywords(df.where(F.size("tags") == 0).select("id", "content"))
-    order = Window.partitionBy("id").orderBy(F.desc("count"), "keyword")
-    best = (
-        words_of.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= n)
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "keyword"))).alias("_best"))
-        .select("id", F.transform("_best", lambda k: k["keyword"]).alias("_best"))
-    )
+    words_of = keyword_counts(df.where(F.size("tags") == 0).select("id", "content"))
+    ranked = F.sort_array(F.transform("words", lambda k: F.struct((-k["n"]).alias("uses"), k["word"].alias("word"))))
+    best = words_of.select("id", F.transform(F.slice(ranked, 1, n), lambda k: k["word"]).alias("_best"))
     tags = F.when(F.size("tags") == 0, F.coalesce("_best", F.col("tags"))).otherwise(F.col("tags"))
     return df.join(best, "id", "left").withColumn("tags", tags).drop("_best")
 

@@ -46,3 +46,14 @@ def test_summaries_do_not_shuffle_the_made_texts(spark):
     below = plan(made).split("Join", 1)[1]
     assert below.count("Generate explode") <= 2  # those of the scored texts; none for the rows of the table
     assert made.count() == len(TEXTS)
+
+
+def test_keywords_and_tags_are_counted_within_a_document(spark):
+    found = summarize.extract_keywords(docs(spark))
+    assert "Aggregate" not in plan(found) and "Window" not in plan(found)
+    assert {(r.id, r.keyword): r["count"] for r in found.where("id = 'a'").collect()} == {
+        ("a", "wide"): 2, ("a", "rivers"): 3, ("a", "sand"): 2, ("a", "deltas"): 3,
+    }
+    tagged = summarize.fill_tags(docs(spark).withColumn("tags", F.array().cast("array<string>")))
+    assert "Window" not in plan(tagged)
+    assert {tuple(r.tags) for r in tagged.where("id = 'a'").collect()} == {("deltas", "rivers", "sand", "wide")}
