@@ -1,6 +1,6 @@
 """Term statistics and TF-IDF relevance over a corpus of articles.
 
-An article is the unit of grouping: one shuffle by id serves term counts, totals and ranks.
+An article is the unit of grouping: one shuffle of texts by id serves term counts, totals and ranks.
 Document frequencies are asked for a short list of terms and need one aggregate pass.
 """
 
@@ -22,6 +22,7 @@ from feedlens.functions.terms import (
     tokenize,
 )
 from feedlens.functions.text import byte_len, cut_bytes
+from feedlens.operators.tally import COUNTS, by_document, in_id_order, read_terms, spaced
 
 
 FIELD_WEIGHTS = {"title": 3, "summary": 2, "content": 1}
@@ -29,31 +30,23 @@ TAG_WEIGHT = 4
 
 
 def _term_counts(articles: DataFrame) -> DataFrame:
-    """(id, term, count): each field is split once and its words carry the field's weight.
+    """(id, words, total): the terms of each article with their weighted uses and the sum of these.
 
-    The rows are shuffled by id before they are split, so that counting terms and adding up
-    the terms of an article both find their groups in place.
+    Each field is split once and its words carry the field's weight.
     """
     tags = F.array_join(F.coalesce("tags", empty_strings()), " ")
-    fields = [F.struct(F.lit(w).alias("w"), F.col(c).alias("t")) for c, w in FIELD_WEIGHTS.items()]
-    fields.append(F.struct(F.lit(TAG_WEIGHT).alias("w"), tags.alias("t")))
-    placed = articles.select("id", "title", "summary", "content", "tags").repartition("id")
-    # the outer generator keeps Spark from splitting the text twice for an emptiness filter
-    return (
-        placed.select("id", F.inline(F.array(*fields)))
-        .select("id", "w", F.explode_outer(F.split(F.lower("t"), r"[^\p{L}]+")).alias("token"))
-        .where(F.col("token") != "")
-        .select("id", "w", stem("token").alias("term"))
-        .where((byte_len("term") > 2) & ~F.col("term").isin(vocab.TERM_STOP_WORDS))
-        .groupBy("id", "term")
-        .agg(F.sum("w").alias("count"))
-    )
+    weights = [(w, F.col(c)) for c, w in FIELD_WEIGHTS.items()] + [(TAG_WEIGHT, tags)]
+    fields = [F.struct(F.lit(w).alias("w"), spaced(t, r"[^\p{L}]+").alias("t")) for w, t in weights]
+    placed = in_id_order(articles.select("id", "title", "summary", "content", "tags"))
+    counted = by_document(placed, F.array(*fields), read_terms, f"words {COUNTS}")
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
+    return counted.select("id", "words", total.alias("total"))
 
 
 def term_frequencies(articles: DataFrame) -> DataFrame:
     """(id, term, count, frequency) of the stemmed terms of each article."""
-    total = F.sum("count").over(Window.partitionBy("id"))
-    return _term_counts(articles).withColumn("frequency", F.col("count") / total)
+    rows = _term_counts(articles).select("id", "total", F.inline("words").alias("term", "count"))
+    return rows.select("id", "term", "count", (F.col("count") / F.col("total")).alias("frequency"))
 
 
 def top_terms(articles: DataFrame, n: int) -> DataFrame:
