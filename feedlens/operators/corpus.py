@@ -6,7 +6,7 @@ Document frequencies are asked for a short list of terms and need one aggregate
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import vocab
@@ -51,9 +51,13 @@ def term_frequencies(articles: DataFrame) -> DataFrame:
 
 def top_terms(articles: DataFrame, n: int) -> DataFrame:
     """The ``n`` most frequent terms of each article, ties in term order."""
-    order = Window.partitionBy("id").orderBy(F.desc("count"), "term")
-    ranked = term_frequencies(articles).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= n).select("id", "rank", "term", "count", "frequency")
+    order = F.transform("words", lambda t: F.struct((-t["n"]).alias("uses"), t["word"].alias("term")))
+    best = _term_counts(articles).select("id", "total", F.slice(F.sort_array(order), 1, n).alias("best"))
+    count = -F.col("t.uses")
+    return best.select("id", "total", F.posexplode("best").alias("place", "t")).select(
+        "id", (F.col("place") + 1).cast("long").alias("rank"), "t.term", count.alias("count"),
+        (count / F.col("total")).alias("frequency"),
+    )
 
 
 def _holds(term: str) -> Column:

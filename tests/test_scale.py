@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from feedlens.operators import summarize
+from feedlens.operators import corpus, summarize
 
 TEXTS = [
     ("a", "Wide rivers carry sand to wide deltas. Sand is light, rivers are slow."),
@@ -48,6 +48,16 @@ def test_summaries_do_not_shuffle_the_made_texts(spark):
     assert made.count() == len(TEXTS)
 
 
+def test_terms_are_counted_and_ranked_within_an_article(spark):
+    for rows in (corpus.term_frequencies(docs(spark)), corpus.top_terms(docs(spark), 2)):
+        assert "Aggregate" not in plan(rows) and "Window" not in plan(rows)
+    counts = {(r.id, r.term): r["count"] for r in corpus.term_frequencies(docs(spark)).collect()}
+    assert counts[("a", "sands")] == 8 and counts[("a", "sand")] == 2 and counts[("a", "deltas")] == 3
+    assert counts[(None, "lone")] == 2 and counts[("c", "sands")] == 4
+    best = [(r["rank"], r.term, r["count"]) for r in corpus.top_terms(docs(spark), 2).where("id = 'a'").collect()]
+    assert best == [(1, "sands", 8), (2, "deltas", 3)]
+
+
 def test_keywords_and_tags_are_counted_within_a_document(spark):
     found = summarize.extract_keywords(docs(spark))
     assert "Aggregate" not in plan(found) and "Window" not in plan(found)
