@@ -80,8 +80,8 @@ def resolve_sources(requests: DataFrame, catalog: DataFrame, names: str = "sourc
     """Requested sources of each request in request order, unknown ones dropped.
 
     ``requests`` holds comma-separated names; a request without any gets the whole catalogue
-    in catalogue order. Repeated names stay repeated. The catalogue is joined by name; for
-    requests that want everything, its names are put into the request by the same join.
+    in catalogue order. Repeated names stay repeated. The catalogue is configuration and goes to
+    every task; by a shuffle, the requests of a name would meet in one task.
     """
     known = catalog.select(F.col("name"), F.monotonically_increasing_id().alias("_order"))
     everything = known.agg(
@@ -90,7 +90,7 @@ def resolve_sources(requests: DataFrame, catalog: DataFrame, names: str = "sourc
     listed = F.filter(F.transform(F.split(names, ","), lambda s: trim_space(s)), lambda s: s != "")
     wanted = F.when(F.coalesce(F.col(names), F.lit("")) == "", everything).otherwise(listed)
     exploded = requests.select("*", F.posexplode(wanted).alias("position", "name"))
-    return exploded.join(catalog, "name")
+    return exploded.join(F.broadcast(catalog), "name")
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from feedlens.operators import corpus, summarize
+from feedlens.sources import catalog
 
 TEXTS = [
     ("a", "Wide rivers carry sand to wide deltas. Sand is light, rivers are slow."),
@@ -67,3 +68,10 @@ def test_keywords_and_tags_are_counted_within_a_document(spark):
     tagged = summarize.fill_tags(docs(spark).withColumn("tags", F.array().cast("array<string>")))
     assert "Window" not in plan(tagged)
     assert {tuple(r.tags) for r in tagged.where("id = 'a'").collect()} == {("deltas", "rivers", "sand", "wide")}
+
+
+def test_requests_are_not_dealt_by_source(spark):
+    asked = spark.createDataFrame([(1, "dev.to, dev.to"), (2, "")], "id int, sources string")
+    rows = catalog.resolve_sources(asked, catalog.digest_catalog(spark))
+    assert "SortMergeJoin" not in plan(rows, "sparkPlan") and "BroadcastHashJoin" in plan(rows, "sparkPlan")
+    assert rows.count() == 6
