@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import vocab
+from feedlens.functions.arrays import pin
 from feedlens.functions.text import byte_len, col, replace_all, text, trim_space
 from feedlens.functions.times import DAY_US, age_us
 
@@ -26,7 +27,8 @@ def _error(condition: Column, field: str, value: Column, message: Column | str,
 
 
 def _collect(df: DataFrame, checks: list[Column]) -> DataFrame:
-    return df.withColumn("errors", F.array_compact(F.array(*checks)))
+    # pinned, as a filter on the errors would otherwise run every check again
+    return pin(df, errors=F.array_compact(F.array(*checks)))
 
 
 def in_list(c: Column | str, allowed: list[str]) -> Column:

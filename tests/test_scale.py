@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from feedlens.operators import corpus, summarize
+from feedlens.operators import corpus, requests, summarize
 from feedlens.sources import catalog
 
 TEXTS = [
@@ -75,3 +75,12 @@ def test_requests_are_not_dealt_by_source(spark):
     rows = catalog.resolve_sources(asked, catalog.digest_catalog(spark))
     assert "SortMergeJoin" not in plan(rows, "sparkPlan") and "BroadcastHashJoin" in plan(rows, "sparkPlan")
     assert rows.count() == 6
+
+
+def test_requests_are_checked_once(spark):
+    row = ("2024-01-01", "2024-01-02", "cooking", 0.5, 500, "", "", "dev.to")
+    names = "start_date string, end_date string, category string, min_quality double, max_results int, format string, sort_by string, sources string"
+    checked = requests.validate_weekly_requests(spark.createDataFrame([row], names), "2024-01-31")
+    errors = checked.select(F.explode("errors").alias("e")).where(F.col("e.field").isin("category", "maxResults"))
+    assert plan(errors).count("INVALID_RESULT_COUNT") == 1
+    assert [r.code for r in errors.select("e.code").collect()] == ["INVALID_CATEGORY", "INVALID_RESULT_COUNT"]
