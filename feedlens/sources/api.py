@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.functions.arrays import pin
 from feedlens.functions.identity import short_id
 from feedlens.functions.text import byte_len, shorten, text
 from feedlens.functions.times import parse_timestamp
@@ -41,7 +42,7 @@ def parse_github_repos(payloads: DataFrame) -> DataFrame:
     found = F.from_json("body", f"struct<items: array<{REPO}>>")["items"]
     listed = F.from_json("body", f"array<{REPO}>")
     is_search = F.contains("source_url", F.lit("/search/repositories"))
-    items = payloads.withColumn("_repos", F.when(is_search, found).otherwise(listed)).drop("body")
+    items = pin(payloads, _repos=F.when(is_search, found).otherwise(listed)).drop("body")
     items = items.select("*", F.posexplode("_repos").alias("position", "item")).drop("_repos")
     return raw_article(
         items,
@@ -71,7 +72,7 @@ def parse_github_repos(payloads: DataFrame) -> DataFrame:
 
 def parse_github_issues(payloads: DataFrame) -> DataFrame:
     """One raw article per issue."""
-    items = payloads.withColumn("_issues", F.from_json("body", f"array<{ISSUE}>")).drop("body")
+    items = pin(payloads, _issues=F.from_json("body", f"array<{ISSUE}>")).drop("body")
     items = items.select("*", F.posexplode("_issues").alias("position", "item")).drop("_issues")
     labels = F.coalesce(F.transform("item.labels", lambda label: text(label["name"])), no_strings())
     return raw_article(
@@ -97,7 +98,7 @@ def parse_github_issues(payloads: DataFrame) -> DataFrame:
 
 def parse_devto_articles(payloads: DataFrame) -> DataFrame:
     """One raw article per post; an organisation's name replaces the author's."""
-    items = payloads.withColumn("_posts", F.from_json("body", f"array<{POST}>")).drop("body")
+    items = pin(payloads, _posts=F.from_json("body", f"array<{POST}>")).drop("body")
     items = items.select("*", F.posexplode("_posts").alias("position", "item")).drop("_posts")
     person = F.when(text("item.user.name") != "", F.col("item.user.name")).otherwise(F.col("item.user.username"))
     return raw_article(

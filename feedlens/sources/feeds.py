@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.functions.arrays import pin
 from feedlens.functions.identity import short_id
 from feedlens.functions.text import markup_to_text, shorten, text, trim_space, unescape
 from feedlens.functions.times import FEED_LAYOUTS, parse_timestamp
@@ -30,8 +31,8 @@ def _body_of_kind(root: str) -> Column:
 
 def parse_rss(payloads: DataFrame) -> DataFrame:
     """One raw article per channel item."""
-    # the body stays behind once its items are parsed
-    items = payloads.withColumn("_feed", F.from_xml(_body_of_kind("rss"), RSS_SCHEMA, _XML)).drop("body")
+    # the body stays behind once its items are parsed; pinned, they are not parsed again for an emptiness filter
+    items = pin(payloads, _feed=F.from_xml(_body_of_kind("rss"), RSS_SCHEMA, _XML)).drop("body")
     items = items.select("*", F.posexplode("_feed.channel.item").alias("position", "item")).drop("_feed")
     link, title = text("item.link"), text("item.title")
     category = text("item.category")
@@ -52,7 +53,7 @@ def parse_rss(payloads: DataFrame) -> DataFrame:
 
 def parse_atom(payloads: DataFrame) -> DataFrame:
     """One raw article per feed entry."""
-    items = payloads.withColumn("_feed", F.from_xml(_body_of_kind("feed"), ATOM_SCHEMA, _XML)).drop("body")
+    items = pin(payloads, _feed=F.from_xml(_body_of_kind("feed"), ATOM_SCHEMA, _XML)).drop("body")
     items = items.select("*", F.posexplode("_feed.entry").alias("position", "item")).drop("_feed")
     links = F.filter("item.link", lambda link: F.coalesce(link["_rel"], F.lit("")).isin("", "alternate"))
     terms = F.filter(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from feedlens.operators import corpus, requests, summarize
-from feedlens.sources import catalog
+from feedlens.sources import api, catalog, feeds
 
 TEXTS = [
     ("a", "Wide rivers carry sand to wide deltas. Sand is light, rivers are slow."),
@@ -84,3 +84,18 @@ def test_requests_are_checked_once(spark):
     errors = checked.select(F.explode("errors").alias("e")).where(F.col("e.field").isin("category", "maxResults"))
     assert plan(errors).count("INVALID_RESULT_COUNT") == 1
     assert [r.code for r in errors.select("e.code").collect()] == ["INVALID_CATEGORY", "INVALID_RESULT_COUNT"]
+
+
+def test_payloads_are_parsed_once(spark):
+    rss = "<rss><channel><item><title>A</title></item><item><title>B</title></item></channel></rss>"
+    atom = "<feed><entry><id>1</id></entry></feed>"
+    rows = [(f"https://{u}", b, [], "", {}, None, 1) for u, b in (("e.com/rss", rss), ("e.com/atom", atom), ("dev.to/api", '[{"id": 1}]'))]
+    names = "source_url string, body string, config_tags array<string>, config_language string, config_metadata map<string,string>, fetched_at timestamp, payload_seq long"
+    payloads = spark.createDataFrame(rows, names)
+    for parse, function, items in (
+        (feeds.parse_rss, "from_xml", 2), (feeds.parse_atom, "from_xml", 1), (api.parse_devto_articles, "from_json", 1),
+        (api.parse_github_issues, "from_json", 1),
+    ):
+        parsed = parse(payloads).select("source_type", "id")
+        assert plan(parsed).count(function) == 1
+        assert parsed.count() == items
