@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose word-shingle sets are similar, and their components.
 
-1. Each distinct set is a node (copies share it). A pass over the texts counts shingles in a
-   fixed number of slots; the counts give one global order, rare first.
+1. Each distinct set is a node (copies share it). Shingles are counted exactly: a task sorts those of a
+   round of texts and deals them by hash; what occurs once stays where it was counted, the others
+   go back to their round with their counts. The counts give one global order, rare first.
 2. Two similar sets share a shingle among the first of that order (prefix principle), so nodes
    are tied where they share one and their sizes fit. The components of these ties are cells:
    every similar pair lies within a cell.
@@ -17,11 +18,11 @@ blocks at most. No pair is lost either way.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,12 @@ from feedlens.llm.batches import small_batches
 from feedlens.llm.components import components
 from feedlens.session import ensure_checkpoint_dir
 
-_SLOTS = 1 << 22  # of the order table: 16 MB, whatever the corpus
-_PIECE = 1 << 17
+_ROUND = 1 << 21  # shingles that a task counts at a time
+_NUMBER = 16  # bits of a text's number in its round; a token is the rest of a shingle's 64 bits
+_MANY = (1 << _NUMBER) - 1  # instead of a text's number: the round has the token so often that it keeps the texts itself
+_OFTEN = 16
+_BLOB = 1 << 11
+_WORDS = 18  # 2**18 words of a bitmap of ids: 2 MB, whatever the corpus
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -39,64 +44,181 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.append(mix(shingles), np.uint64(len(shingles))).sum(dtype=np.uint64).view(np.int64))
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(42)).astype(np.int64)
+def _measure(width: int):
+    """Each row's id, set size and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, nodes = [], []
+            for _, s in shingle_sets(batch.column("text"), width):
+                n.append(len(s))
+                nodes.append(node_of(s))
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node"])
 
+    return run
 
-def _counted(column, width: int, counts: np.ndarray) -> tuple[list[int], list[int]]:
-    """Set sizes and nodes of a text column; adds its shingles to the slot counts."""
-    n, nodes = [], []
-    for _, s in shingle_sets(column, width):
-        n.append(len(s))
-        nodes.append(node_of(s))
-        np.add.at(counts, _slot(s), np.uint32(1))
-    return n, nodes
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each as the planes of its bytes, without the leading ones that are zero."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for c in columns:
+        c = np.ascontiguousarray(c).astype("<u8", copy=False)
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        out += [bytes([width]), c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
 
-def _measure(width: int):
-    """Each row's id, set size and node; after the rows, the task's slot counts in pieces."""
-    names = ["id", "n", "node", "piece", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-    def batch_of(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _unpack(blob: bytes, columns: int, at: int = 0) -> tuple[list[np.ndarray], int]:
+    """The columns that begin at a place of a blob, and where they end."""
+    n, at, out = int.from_bytes(blob[at : at + 4], "little"), at + 4, []
+    for _ in range(columns):
+        width, raw = blob[at], np.zeros((n, 8), np.uint8)
+        raw[:, :width] = np.frombuffer(blob, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(raw.reshape(-1).view("<u8"))
+        at += 1 + n * width
+    return out, at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(_SLOTS, np.uint32), False
-        for batch in batches:
-            n, nodes = _counted(batch.column("text"), width, counts)
-            seen |= bool(n)
-            yield batch_of(batch.column("id").to_pylist(), n, nodes, [None] * len(n), [None] * len(n))
-        for k in range(0, _SLOTS if seen else 0, _PIECE):
-            yield batch_of([None], [None], [None], [k // _PIECE], [zlib.compress(counts[k : k + _PIECE].tobytes(), 1)])
 
-    return run
+def _entries(token: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending tokens, as the first one and the steps between them, with other columns."""
+    return token[:1].tobytes() + _pack(np.diff(token, prepend=token[:1]), *columns)
 
 
-def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, np.uint64(0)) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
-    keys = list(total)
-    counts = [np.minimum(total[k], (1 << 23) - 1).astype(np.uint32).tobytes() for k in keys]  # enough for an order
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts, pa.binary())], ["piece", "counts"])
+def _read_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps, *columns = _unpack(blob, 3, 8)[0]
+    steps[0] = np.frombuffer(blob, np.uint64, 1)[0]
+    return np.cumsum(steps, dtype=np.uint64), *columns
 
 
-def _order_table(pieces: DataFrame) -> np.ndarray:
-    """The corpus-wide slot counts, always _SLOTS numbers."""
-    table = np.zeros(_SLOTS, np.uint32)
-    added = pieces.repartition(_SLOTS // _PIECE, "piece").mapInArrow(_add_pieces, "piece int, counts binary")
-    for k, c in added.collect():
-        table[k * _PIECE : (k + 1) * _PIECE] = np.frombuffer(c, np.uint32)
-    return table
+def _rows(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(round, part, blob), some megabytes at a time."""
+    at, size = 0, 0
+    for k, row in enumerate(rows):
+        size += len(row[2])
+        if size > 1 << 20 or k == len(rows) - 1:
+            columns = zip(zip(*rows[at : k + 1], strict=True), [pa.int64(), pa.int32(), pa.binary()], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["round", "part", "blob"])
+            at, size = k + 1, 0
+
+
+def _round(number: int, sets: list[np.ndarray], nodes: list[int], bits: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of a round of sets, dealt to 2**``bits`` parts by their first bits.
+
+    Blobs hold steps between tokens, the texts' numbers and how many texts an entry stands for. A row of a
+    negative part goes with them: nodes, sizes, and the texts of tokens that many texts of the round have.
+    """
+    sizes = np.array([len(s) for s in sets])
+    value = np.concatenate(sets)
+    sets.clear()  # a task holds no more copies of a round than it must
+    value &= ~np.uint64(_MANY)
+    value |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    value.sort()
+    fresh = np.append(True, (value[1:] ^ value[:-1]) > np.uint64(_MANY))
+    starts = np.flatnonzero(fresh)
+    count = np.diff(np.append(starts, len(value)))
+    often = np.repeat(count > _OFTEN, count)
+    starts, count = starts[count > _OFTEN], count[count > _OFTEN]
+    head = _pack(np.array(nodes, np.int64).view(np.uint64), sizes) + _pack(*_parted(value[often]))
+    stands = np.ones(len(value), np.uint32)
+    stands[starts] = count
+    value[starts] |= np.uint64(_MANY)
+    fresh |= ~often
+    value, stands = value[fresh], stands[fresh]
+    del fresh, often
+    ends = np.searchsorted(value, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+    rows = [(number, -1 - number % (1 << 30), head)]
+    for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(value)], strict=True)):
+        for k in range(a, b, _BLOB):
+            some = slice(k, min(b, k + _BLOB))
+            token, text = _parted(value[some])
+            rows.append((number, part, _entries(token, text, stands[some])))
+    yield from _rows(rows)
+
+
+def _parted(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and texts' numbers."""
+    return value >> np.uint64(_NUMBER), value & np.uint64(_MANY)
+
+
+def _deal(width: int, bits: int):
+    """The tokens of all sets, a round of sets at a time; a task takes equal sets once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = TaskContext.get().partitionId() << 32, set()
+        sets: list[np.ndarray] = []
+        nodes: list[int] = []
+        waiting = 0
+        for batch in batches:
+            for _, s in shingle_sets(batch.column("text"), width):
+                node = node_of(s)
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                if sets and (waiting + len(s) > _ROUND or len(sets) == _MANY):
+                    yield from _round(number, sets, nodes, bits)
+                    number, sets, nodes, waiting = number + 1, [], [], 0
+                sets.append(s)
+                nodes.append(node)
+                waiting += len(s)
+        if sets:
+            yield from _round(number, sets, nodes, bits)
 
+    return run
 
-def _postings(width: int, percent: int, table, hot: int):
-    """(token, n, node, early) for the first shingles of each set in the global order.
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the tokens of a part; those that occur twice at least go on, with their counts."""
+    for table in runs(batches, ["part"]):
+        rounds, part = table["round"].to_pylist(), table["part"][0].as_py()
+        if part < 0:
+            yield from table.to_batches()
+            continue
+        blobs = [_read_entries(blob) for blob in table["blob"].to_pylist()]
+        texts = [b[1].astype(np.uint16) for b in blobs]
+        token = np.concatenate([b[0] for b in blobs])
+        stands = np.concatenate([b[2].astype(np.uint32) for b in blobs])
+        del blobs
+        order = np.argsort(token)
+        ranked = token[order]
+        starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        total = np.add.reduceat(stands[order], starts, dtype=np.uint64)
+        count = np.empty(len(token), np.uint64)
+        count[order] = np.repeat(total, np.diff(np.append(starts, len(token))))
+        rows, at = [], 0
+        for number, text in zip(rounds, texts, strict=True):
+            here = slice(at, at + len(text))
+            at += len(text)
+            if len(some := np.flatnonzero(count[here] > 1)):
+                rows.append((number, part, _entries(token[here][some], text[some], count[here][some])))
+        yield from _rows(rows)
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a round: nodes and sizes of its sets; text, count and token of each token that is not the only one."""
+    token, text, count = [], [], []
+    for part, blob in zip(table["part"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        if part < 0:
+            (nodes, sizes), at = _unpack(blob, 2)
+            (kept, holders), _ = _unpack(blob, 2, at)
+        else:
+            for column, values in zip((token, text, count), _read_entries(blob), strict=True):
+                column.append(values)
+    if not token:
+        return nodes, sizes, *[np.zeros(0, np.uint64)] * 3
+    token, text, count = map(np.concatenate, (token, text, count))
+    many = text == _MANY
+    by = np.argsort(token[many])
+    counted = count[many][by][np.searchsorted(token[many][by], kept)] if len(kept) else kept
+    return nodes, sizes, *(np.append(x[~many], y) for x, y in ((text, holders), (count, counted), (token, kept)))
+
+
+def _postings(percent: int, hot: int):
+    """(token, n, node, early) for the first shingles of each set in the global order, a round of sets at a time.
+
+    Shingles that no other set has come first and need no row: a set with enough of them is similar to no other.
     ``early`` marks those among which a set shares one with every similar set that is not smaller.
-    A set is written once per task. Of a token above ``hot`` counts a task writes only the least
+    Of a token above ``hot`` counts a task writes only the least
     and the largest set of each size class, and ties the others to the class in the task, so the
     token's rows grow with the tasks and not with the documents.
     """
@@ -106,36 +228,32 @@ def _postings(width: int, percent: int, table, hot: int):
         return [_tie(r) for r in roots] * 2, ids + roots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, forest = table.value, set(), Forest()
+        forest = Forest()
         ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        kept: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
-        for batch in batches:
-            for _, s in shingle_sets(batch.column("text"), width):
-                node = node_of(s)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                n = len(s)
-                first = n - -(-percent * n // 100) + 1
-                weight = counts[_slot(s)].astype(np.uint64)
-                key = (weight << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
-                key = np.sort(np.partition(key, first - 1)[:first] if first < n else key)
-                soon = np.arange(len(key)) <= n - -(-2 * percent * n // (100 + percent))
-                common = key >= np.uint64(min(hot, (1 << 23) - 1) << 40)
-                for token in key[common].tolist():
-                    at = (token, int(np.log(n) / -np.log(percent / 100)) if percent < 100 else n)
-                    low, high = ends.get(at, ((n, node), (n, node)))
-                    forest.union(node, low[1])
-                    ends[at] = (min(low, (n, node)), max(high, (n, node)))
-                key = key[~common]
-                kept.append((key, np.full(len(key), n), np.full(len(key), node), soon[~common]))
-                waiting += len(key)
-                if waiting > 1 << 17:
-                    yield _posting_batch(*map(np.concatenate, zip(*kept, strict=True)))
-                    kept, waiting = [], 0
-        if kept:
-            yield _posting_batch(*map(np.concatenate, zip(*kept, strict=True)))
+        for table in runs(batches, ["round"]):
+            nodes, sizes, text, count, token = _shared(table)
+            nodes, sizes, text = (x.astype(np.int64) for x in (nodes, sizes, text))
+            alone = sizes - np.bincount(text, minlength=len(sizes))
+            first = sizes - -(-percent * sizes // 100) + 1
+            open_ = (first > alone)[text]
+            text, count, token = text[open_], count[open_], token[open_]
+            order = np.lexsort((token, count, text))
+            text, count, token = text[order], count[order], token[order]
+            place = np.arange(len(text)) - np.searchsorted(text, text) + alone[text]
+            use = place < first[text]
+            text, count, token, place = text[use], count[use], token[use], place[use]
+            n, node = sizes[text], nodes[text]
+            soon = place <= n - -(-2 * percent * n // (100 + percent))
+            common = count >= np.uint64(hot)
+            for t, m, x in zip(token[common].tolist(), n[common].tolist(), node[common].tolist(), strict=True):
+                at = (t, int(np.log(m) / -np.log(percent / 100)) if percent < 100 else m)
+                low, high = ends.get(at, ((m, x), (m, x)))
+                forest.union(x, low[1])
+                ends[at] = (min(low, (m, x)), max(high, (m, x)))
+            rest = np.flatnonzero(~common)
+            for k in range(0, len(rest), 1 << 17):
+                some = rest[k : k + (1 << 17)]
+                yield _posting_batch(token[some], n[some], node[some], soon[some])
         flat = [(t, n, node) for (t, _), both in ends.items() for n, node in both]
         if flat:
             yield _posting_batch(*(np.array(c, np.int64) for c in zip(*flat, strict=True)), np.ones(len(flat), bool))
@@ -148,7 +266,7 @@ def _postings(width: int, percent: int, table, hot: int):
 
 
 def _tie(node: int) -> int:
-    """A token of its own for the sets that a task has already tied to ``node``; counts never reach it."""
+    """A token of its own for the sets that a task has already tied to ``node``; those of shingles have fewer bits."""
     return int(np.uint64(node & ((1 << 62) - 1)) | np.uint64(1 << 62))
 
 
@@ -350,11 +468,14 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = narrow.mapInArrow(_measure(width), "id long, n long, node long, piece int, counts binary").checkpoint()
-    light = measured.filter("piece is null").select("id", "n", "node")
-    table = spark.sparkContext.broadcast(_order_table(measured.filter("piece is not null").select("piece", "counts")))
-
-    postings = narrow.mapInArrow(_postings(width, percent, table, hot_token), "token long, n long, node long, early boolean")
+    light = narrow.mapInArrow(_measure(width), "id long, n long, node long").checkpoint()
+
+    total = light.agg(F.sum("n")).first()[0] or 0
+    parts = max(total >> 20, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 16), 1)
+    dealt = narrow.mapInArrow(_deal(width, (parts - 1).bit_length()), "round long, part int, blob binary")
+    counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_count, dealt.schema)
+    rounds = counted.repartition("round").sortWithinPartitions("round")
+    postings = rounds.mapInArrow(_postings(percent, hot_token), "token long, n long, node long, early boolean")
     sorted_postings = postings.repartition("token").sortWithinPartitions("token", "n", "node")
     cells = components(sorted_postings.mapInArrow(_link_tokens(percent), "a long, b long"))
 
@@ -367,7 +488,8 @@ def ngram_jaccard_join(
     members = members.join(sizes, "cell").withColumns(
         {"block": F.pmod(spread, F.col("blocks")).cast("int"), "comp": F.col("node")}
     )
-    home = narrow.join(members, "id").checkpoint()  # the texts of the cells, read by both rounds
+    members = members.checkpoint()
+    home = with_ids(narrow, members).join(members, "id").checkpoint()  # the texts of the cells, read by both rounds
 
     def linked(placed: DataFrame) -> DataFrame:
         rows = placed.select("cell", F.col("there").alias("block"), "guest", "node", "comp", "home", "visits", "text")
@@ -392,6 +514,31 @@ def ngram_jaccard_join(
     return alone.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def with_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among the wanted ones, and some others: a bitmap of fixed size tells, so that a
+    join after it does not shuffle all texts."""
+
+    def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = mix(batch.column("id").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return (ids >> np.uint64(64 - _WORDS)).astype(np.int64), np.uint64(1) << (ids & np.uint64(63))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = place(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], ["word", "bits"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = place(batch)
+            yield batch.filter(pa.array((bitmap.value[word] & bit) > 0))
+
+    bits = wanted.select("id").mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << _WORDS, np.uint64)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    bitmap = rows.sparkSession.sparkContext.broadcast(table)
+    return rows.mapInArrow(kept, rows.schema)
+
+
 def _visits(home: DataFrame, found: DataFrame, every) -> DataFrame:
     """Sets outside the largest component of their cell visit all its blocks. A home block meets the
     guests of one block at a time."""

@@ -10,9 +10,12 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
+from feedlens.llm import jaccard_join
 from feedlens.llm.byte_bpe import Encoder, bpe_round_trip, load_ranks
 from feedlens.llm.components import components
 from feedlens.llm.context_tree import context_tree_scores
@@ -102,6 +105,42 @@ def test_jaccard_brute_force(spark, options):
     assert got == brute_groups(rows, options.get("percent", 75))
 
 
+def test_jaccard_cells_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """Texts that share a passage with the next one, and are otherwise their own, form no cells, however many shingles there are."""
+    seen = []
+
+    def counted(edges, made=jaccard_join.components):
+        out = made(edges)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    word = "transform(sequence(1, {n}), k -> lower(hex(shiftrightunsigned(xxhash64({of}, k), 44))))"
+    parts = [word.format(n=300, of="'p', id"), word.format(n=6400, of="'own', id"), word.format(n=300, of="'p', id + 1")]
+    docs = spark.range(0, 1400, 1, 8).selectExpr("id AS doc_id", f"array_join(concat({', '.join(parts)}), ' ') AS text")
+    copies = docs.filter("doc_id < 3").selectExpr("doc_id + 5000 AS doc_id", "concat(text, ' tail') AS text")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(docs.union(copies)).collect()}
+    assert got == {i: i for i in range(1400)} | {5000 + i: i for i in range(3)}
+    assert seen[0] <= 5  # the near copies, not all texts in one cell that fills the disk
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_jaccard_counts_of_rounds(bits):
+    draw = np.random.default_rng(1)
+    common = draw.integers(0, 2**64, 40, dtype=np.uint64)
+    rounds = [[np.unique(np.append(draw.integers(0, 2**64, 50, dtype=np.uint64), common[: draw.integers(0, 41)])) for _ in range(k)] for k in (1, 30, 200)]
+    dealt = [b for k, sets in enumerate(rounds) for b in jaccard_join._round(k, list(sets), [-k - i for i in range(len(sets))], bits)]
+    counted = pa.Table.from_batches(jaccard_join._count(iter(pa.Table.from_batches(dealt).sort_by("part").to_batches(7))))
+    tokens, counts = np.unique(np.concatenate([s >> np.uint64(16) for sets in rounds for s in sets]), return_counts=True)
+    often = dict(zip(tokens[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True))
+    for k, sets in enumerate(rounds):
+        mine = counted.filter(pa.compute.equal(counted["round"], k))
+        nodes, sizes, *shared = jaccard_join._shared(mine)
+        assert nodes.view(np.int64).tolist() == [-k - i for i in range(len(sets))] and sizes.tolist() == [len(s) for s in sets]
+        want = sorted((i, often[t], t) for i, s in enumerate(sets) for t in (s >> np.uint64(16)).tolist() if t in often)
+        assert sorted(zip(*(x.tolist() for x in shared), strict=True)) == want
+
+
 def test_jaccard_shared_ids(spark):
     """An id with several texts ties all their components, also through other ids."""
     text = {k: " ".join(f"{k}{i}" for i in range(9)) for k in "abcdefgh"}
